@@ -1,0 +1,6 @@
+"""All queries of the engine, by name, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
