@@ -53,13 +53,13 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: list[T.Stru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        target, f = to_arrow_schema(schema, timezone="UTC"), make()
+        target, f = to_arrow_schema(schema), make()
         for batch in batches:
             for part in slices(batch, "__text__"):
                 out = f(part.column("__text__").to_pylist())
                 kept = [part.column(i) for i, n in enumerate(part.schema.names) if n != "__text__"]
                 made = [x if isinstance(x, pa.Array) else pa.array(x, type=target.field(len(keep) + i).type) for i, x in enumerate(out)]
-                yield pa.RecordBatch.from_arrays([x.cast(t.type) for x, t in zip([*kept, *made], target, strict=True)], schema=target)
+                yield pa.RecordBatch.from_arrays([x if x.type == t.type else x.cast(t.type) for x, t in zip([*kept, *made], target, strict=True)], schema=target)
 
     return source.mapInArrow(run, schema)
 
