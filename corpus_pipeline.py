@@ -1,15 +1,72 @@
-"""A training-data pipeline over ``documents``."""
+"""A training-data pipeline over ``documents``.
+
+Each stage takes what the one before it kept.  Null and empty texts are judged
+by each stage as its operator says; repeated rows stay until near-duplicates go;
+an empty table passes through.  Extra columns of ``documents`` stay to the last stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelight.llm import bpe, decontam, langid, neardup, quality_crf
+from panelight.llm.common import crc_mod, table
+from panelight.llm.queries import vocabulary
+
+
+def _with(docs: DataFrame, judged) -> DataFrame:
+    """``docs`` packed into one column beside what ``judged`` says of its texts, filtered, and unpacked again."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("text").alias("__text"))
+    return judged(packed).select("__doc.*")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as good stay."""
+    field = quality_crf.train(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
+    return _with(docs, lambda d: quality_crf.score(d, field, "__text", ["__doc"]).filter("predicted = 1"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language stay; texts without a letter go."""
+    net = langid.train(docs, crc_mod(F.col("doc_id"), 4) != 2)
+    keep = (F.col("lang_pred") != langid.UNKNOWN) if net is not None else F.lit(True)
+    return _with(docs, lambda d: langid.identify(d, net, "__text", ["__doc"]).filter(keep))
+
 
-STAGES: list = []
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 0.8) stays."""
+    return neardup.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of the benchmark go."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids and decoded text of what is left."""
+    return bpe.encode_decode(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES: list = [("quality", quality), ("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("encoding", encoding)]
+#: SQL can't express the classifiers; the stages are tested against brute force instead.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """Applies the stages; each one's rows are written as Parquet in the shared folder and read again."""
+    import uuid
+
+    docs = table(spark, sf_dir, "documents")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="pipeline-")
+    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        at = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
     return docs

@@ -171,7 +171,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     for step in range(rounds + 1):
         now = members.withColumn("label", F.col("rep")) if labels is None else members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         now = checkpoint(now)
-        mixed = checkpoint(now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(step)) if step else F.col("rep"), F.col("rep"), F.col("n"), F.col("label"))).alias("hub")).filter("low <> high").select("key", F.col("hub.rep").alias("y"), F.col("hub.n").alias("ny"), F.col("hub.label").alias("ly")))
+        mixed = checkpoint(now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct((F.xxhash64("rep", F.lit(step)) if step else F.col("rep")).alias("order"), F.col("rep"), F.col("n"), F.col("label"))).alias("hub")).filter("low <> high").select("key", F.col("hub.rep").alias("y"), F.col("hub.n").alias("ny"), F.col("hub.label").alias("ly")))
         if mixed.isEmpty():
             break
         if step < rounds:

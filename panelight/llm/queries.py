@@ -5,40 +5,71 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelight.llm import decontam
+from panelight.llm import chat, decontam, langid, licences, neardup, quality_crf, quality_rules, urlfilter
+from panelight.llm.bpe import digests, encode_decode
 from panelight.llm.common import table
+from panelight.llm.tokencount import count_tokens
+
 
-#: Name of a vocabulary file -> its path.  The files come from an installed package, never from this repository.
 def vocabulary(name: str) -> str:
+    """Name of a vocabulary file -> its path.  The files come from an installed package, never from this repository."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from panelight.llm.bpe import digests, encode_decode
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
-def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from panelight.llm.tokencount import count_tokens
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
 
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
-def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from panelight.llm.decontam import report
+#: Conversation -1 of the contract: control strings inside texts.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    return chat.format_digests(turns.unionByName(extra), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
 
-    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_decontaminate": op1_decontaminate,
-    "op2_bpe": op2_bpe,
-    "op6_token_counts": op6_token_counts,
-}
-ORACLES: dict[str, str] = {
-    "op1_decontaminate": decontam.ORACLE,
+    f.__name__: f
+    for f in (op1_decontaminate, op2_bpe, op3_license_scan, op4_url_filter, op5_language_id, op6_token_counts, op7_chat_format, op8_near_dedup, op9_quality_rules, op10_quality_classifier)
 }
+ORACLES: dict[str, str] = {"op1_decontaminate": decontam.ORACLE, "op3_license_scan": licences.ORACLE, "op4_url_filter": urlfilter.ORACLE}
