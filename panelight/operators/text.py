@@ -1,0 +1,48 @@
+"""Text expressions and phrase counts; everything stays in JVM expressions."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: A taxonomy is data: theme -> phrases.  This one has words that are frequent in the driver's texts.
+CORPUS_TAXONOMY = {"article": ["the", "a", "la", "der"], "relation": ["of", "in the", "of the", "de"], "copula": ["is", "was", "be", "est"], "joining": ["and", "with", "et", "und"]}
+
+
+def lowered(text: Column) -> Column:
+    """Lower case, white space squeezed; null is ''."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
+
+
+def phrase_count(text: Column, phrases: list[str]) -> Column:
+    """Matches of all phrases in a ``lowered`` text, each with no ASCII letter or digit beside it."""
+    counts = [F.regexp_count(text, F.lit(f"(?<![a-z0-9]){re.escape(p)}(?![a-z0-9])")) for p in phrases]
+    total = counts[0]
+    for c in counts[1:]:
+        total = total + c
+    return total.cast("long")
+
+
+def theme_counts(docs: DataFrame, keys: list[str], taxonomy: dict[str, list[str]]) -> DataFrame:
+    """keys, n_words, theme, cnt: one row for each document and theme, from one scan."""
+    base = docs.select(*keys, lowered(F.col("text")).alias("__t"))
+    words = F.regexp_count("__t", F.lit(r"[^ ]+")).cast("long").alias("n_words")
+    pairs = F.array(*[F.struct(F.lit(k).alias("theme"), phrase_count(F.col("__t"), v).alias("cnt")) for k, v in taxonomy.items()])
+    return base.select(*keys, words, F.explode(pairs).alias("p")).select(*keys, "n_words", "p.theme", "p.cnt")
+
+
+def theme_counts_sql(keys: str, table: str, taxonomy: dict[str, list[str]]) -> str:
+    """The same in SQL without lookaround: separators are doubled so that matches can stand side by side."""
+    def one(p: str) -> str:
+        return "len(regexp_extract_all(dd, '(?:^|[^a-z0-9])" + p.replace(" ", "  ") + "(?:[^a-z0-9]|$)'))"
+
+    parts = " UNION ALL ".join(f"SELECT {keys}, n_words, '{k}' AS theme, cast({' + '.join(map(one, v))} AS BIGINT) AS cnt FROM low" for k, v in taxonomy.items())
+    squeezed = r"regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')"
+    return f"(WITH low AS MATERIALIZED (SELECT {keys}, cast(len(regexp_extract_all({squeezed}, '[^ ]+')) AS BIGINT) AS n_words, regexp_replace({squeezed}, '([^a-z0-9])', '\\1\\1', 'g') AS dd FROM {table}) {parts})"
+
+
+def comparison_form(text: Column) -> Column:
+    """Case-folded and squeezed, for exact-change tests."""
+    return F.trim(lowered(text))

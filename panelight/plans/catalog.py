@@ -1,6 +1,120 @@
-"""All queries of the engine, by name, and the SQL that gives the same rows."""
+"""All queries of the engine, by name, and the SQL that gives the same rows.
+
+The panel is built from ``documents``: the entity is the source, the year
+2016 + doc_id modulo 9, the sector the source's number modulo 5; blocks of 20 ids
+belong to the first and the second text source of a pair by turns.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelight.operators.text import CORPUS_TAXONOMY, theme_counts, theme_counts_sql
+
+_OBS_SQL = "SELECT doc_id, source AS ticker, cast(2016 + doc_id % 9 AS INTEGER) AS year, concat('sector', cast(cast(substr(source, 4) AS INTEGER) % 5 AS VARCHAR)) AS sector, cast(floor(doc_id / 20) AS BIGINT) % 2 AS side, text FROM documents"
+KEYS = ["doc_id", "ticker", "year", "sector", "side"]
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def observations(spark: SparkSession, d: str) -> DataFrame:
+    x = _read(spark, d, "documents")
+    sector = F.concat(F.lit("sector"), (F.substring("source", 4, 10).cast("int") % 5).cast("string"))
+    return x.select("doc_id", F.col("source").alias("ticker"), (2016 + F.col("doc_id") % 9).cast("int").alias("year"), sector.alias("sector"), (F.floor(F.col("doc_id") / 20) % 2).alias("side"), "text")
+
+
+def counts(spark: SparkSession, d: str) -> DataFrame:
+    return theme_counts(observations(spark, d), KEYS, CORPUS_TAXONOMY)
+
+
+#: Intermediate tables that the queries name in braces: Spark builders and their SQL.
+_FRAMES: dict[str, tuple[Callable, str]] = {
+    "obs": (observations, f"({_OBS_SQL})"),
+    "counts": (counts, theme_counts_sql(", ".join(KEYS), f"({_OBS_SQL})", CORPUS_TAXONOMY)),
+    **{t: ((lambda s, d, t=t: _read(s, d, t)), t) for t in ("documents", "pages", "customer", "orders", "lineitem", "events", "nation", "region", "part", "supplier", "labels", "conversations")},
+}
+
+_RATE = "cnt * 10000e0 / greatest(n_words, 1)"
+_SHARES = "SELECT ticker, year, theme, min(sector) AS sector, sum(CASE WHEN side = 0 THEN cnt ELSE 0 END) AS a, sum(CASE WHEN side = 1 THEN cnt ELSE 0 END) AS b FROM {counts} GROUP BY ticker, year, theme"
+_TOTALS = f"SELECT *, sum(a) OVER (PARTITION BY ticker, year) AS ta, sum(b) OVER (PARTITION BY ticker, year) AS tb FROM ({_SHARES}) q"
+_INDEX = f"""SELECT ticker, year, min(sector) AS sector, CASE WHEN min(ta) > 0 AND min(tb) > 0 THEN 'scored' WHEN min(ta) > 0 THEN 'missing_second' WHEN min(tb) > 0 THEN 'missing_first' ELSE 'missing_both' END AS score_status,
+ CASE WHEN min(ta) > 0 AND min(tb) > 0 THEN 100 * sum(least(a * 1e0 / nullif(ta, 0), b * 1e0 / nullif(tb, 0))) END AS overlap,
+ CASE WHEN min(ta) > 0 AND min(tb) > 0 THEN 100 * sum(a * 1e0 * b) / (sqrt(sum(a * 1e0 * a)) * sqrt(sum(b * 1e0 * b))) END AS cosine,
+ CASE WHEN min(ta) > 0 AND min(tb) > 0 THEN 100 * (1 - sum(abs(a * 1e0 / nullif(ta, 0) - b * 1e0 / nullif(tb, 0))) / 2) END AS l1,
+ CASE WHEN min(ta) > 0 AND min(tb) > 0 THEN 100e0 * sum(CASE WHEN a > 0 AND b > 0 THEN 1 ELSE 0 END) / sum(CASE WHEN a > 0 OR b > 0 THEN 1 ELSE 0 END) END AS jaccard FROM ({_TOTALS}) t GROUP BY ticker, year"""
+_SCORED = f"SELECT ticker, year, sector, round(overlap, 6) AS x, round(cosine, 6) AS y FROM ({_INDEX}) i WHERE score_status = 'scored'"
+_YEARLY = f"SELECT ticker, year, theme, avg({_RATE}) AS rate FROM {{counts}} GROUP BY ticker, year, theme"
+_CAPTURE = "SELECT user_id AS target, event_id, ts, abs(date_diff('second', TIMESTAMP '2024-01-15 12:00:00', ts)) AS delta FROM {events}"
+
+
+def _summary(by: str) -> str:
+    return f"SELECT {by}, theme, count(*) AS n, round(avg(CASE WHEN cnt > 0 THEN 1e0 ELSE 0e0 END), 6) AS presence, round(avg({_RATE}), 6) AS mean_rate, round(median({_RATE}), 6) AS median_rate, cast(sum(cnt) AS BIGINT) AS total FROM {{counts}} GROUP BY {by}, theme"
+
+
+def _stats(by: str) -> str:
+    cols = f"{by}, " if by else ""
+    return f"SELECT {cols}count(*) AS n, round(avg(x), 5) AS mean, round(median(x), 5) AS median, round(stddev_samp(x), 5) AS std, min(x) AS low, round(PCT(x, 0.1), 5) AS p10, round(PCT(x, 0.25), 5) AS p25, round(PCT(x, 0.75), 5) AS p75, round(PCT(x, 0.9), 5) AS p90, max(x) AS high FROM ({_SCORED}) s" + (f" GROUP BY {by}" if by else "")
+
+
+#: name -> SQL that both engines read; PCT is the interpolating percentile.
+_SQL: dict[str, str] = {
+    "theme_counts": f"SELECT doc_id, theme, cnt, n_words, round({_RATE}, 6) AS rate FROM {{counts}}",
+    "theme_year_summary": _summary("year"),
+    "theme_sector_summary": _summary("sector"),
+    "event_windows": _summary("CASE WHEN year <= 2019 THEN '2016-2019' WHEN year <= 2021 THEN '2020-2021' ELSE '2022-2024' END").replace(" END, theme, count", " END AS span, theme, count"),
+    "dominant_theme": "SELECT doc_id, CASE WHEN cnt > 0 THEN theme ELSE '' END AS theme, cnt FROM (SELECT *, cast(row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, theme) AS BIGINT) AS rk FROM {counts}) q WHERE rk = 1",
+    "top3_themes": "SELECT doc_id, rk, theme, cnt FROM (SELECT *, cast(row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, theme) AS BIGINT) AS rk FROM {counts}) q WHERE rk <= 3 AND cnt > 0",
+    "company_theme_change": f"SELECT ticker, theme, min(year) AS first_year, max(year) AS last_year, round(max_by(rate, year) - min_by(rate, year), 6) AS change FROM ({_YEARLY}) y GROUP BY ticker, theme HAVING count(DISTINCT year) >= 2",
+    "adjacent_shifts": f"SELECT ticker, theme, year, round(rate - prior, 6) AS shift FROM (SELECT *, lag(rate) OVER (PARTITION BY ticker, theme ORDER BY year) AS prior, lag(year) OVER (PARTITION BY ticker, theme ORDER BY year) AS prior_year FROM ({_YEARLY}) y) q WHERE prior_year = year - 1",
+    "panel_grid": "SELECT g.ticker, g.year, count(o.doc_id) AS n, CASE WHEN count(o.doc_id) = 0 THEN 'missing' ELSE 'collected' END AS status FROM (SELECT ticker, year FROM (SELECT DISTINCT ticker FROM {obs}) t CROSS JOIN (SELECT DISTINCT year FROM {obs}) y) g LEFT JOIN {obs} o ON o.ticker = g.ticker AND o.year = g.year GROUP BY g.ticker, g.year",
+    "alignment_index": f"SELECT ticker, year, sector, score_status, round(overlap, 6) AS overlap, round(cosine, 6) AS cosine, round(l1, 6) AS l1, round(jaccard, 6) AS jaccard FROM ({_INDEX}) i",
+    "coverage_by_status": f"SELECT score_status, count(*) AS n, count(DISTINCT ticker) AS companies, count(DISTINCT year) AS years, round(count(*) * 1e0 / sum(count(*)) OVER (), 6) AS share FROM ({_INDEX}) i GROUP BY score_status",
+    "distribution": _stats(""),
+    "sector_summary": _stats("sector"),
+    "year_summary": _stats("year"),
+    "company_summary": _stats("ticker"),
+    "sector_percentile": f"SELECT ticker, year, round((rank() OVER (PARTITION BY sector ORDER BY x) + (count(*) OVER (PARTITION BY sector, x) - 1) / 2e0) / count(*) OVER (PARTITION BY sector), 6) AS pct FROM ({_SCORED}) s",
+    "sector_zscore": f"SELECT ticker, year, CASE WHEN sd > 0 THEN round((x - m) / sd, 5) ELSE 0e0 END AS z FROM (SELECT *, avg(x) OVER (PARTITION BY sector) AS m, stddev_samp(x) OVER (PARTITION BY sector) AS sd FROM ({_SCORED}) s) q",
+    "composite_zscore": f"SELECT ticker, year, round((CASE WHEN sx > 0 THEN (x - mx) / sx ELSE 0 END + CASE WHEN sy > 0 THEN (y - my) / sy ELSE 0 END) / 2, 5) AS composite FROM (SELECT * FROM ({_SCORED}) s CROSS JOIN (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM ({_SCORED}) s2) m) q",
+    "terciles": f"SELECT CASE tile WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS tercile, count(*) AS n, round(avg(x), 5) AS mean FROM (SELECT x, ntile(3) OVER (ORDER BY x, ticker, year) AS tile FROM ({_SCORED}) s) q GROUP BY tile",
+    "quadrants": f"SELECT quadrant, count(*) AS n, round(avg(x), 5) AS mean_x FROM (SELECT x, CASE WHEN x >= mx AND y >= my THEN 'both_high' WHEN x >= mx THEN 'keyword_high_only' WHEN y >= my THEN 'semantic_high_only' ELSE 'both_low' END AS quadrant FROM ({_SCORED}) s CROSS JOIN (SELECT median(x) AS mx, median(y) AS my FROM ({_SCORED}) s2) m) q GROUP BY quadrant",
+    "correlations": f"SELECT round(corr(x, y), 5) AS pearson, round(corr(rx, ry), 5) AS spearman, count(*) AS n FROM (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2e0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2e0 AS ry FROM ({_SCORED}) s) q",
+    "base_year_index": f"SELECT ticker, theme, year, CASE WHEN base > 0 THEN round(100 * rate / base, 5) ELSE 0e0 END AS idx FROM (SELECT *, first_value(rate) OVER (PARTITION BY ticker, theme ORDER BY year) AS base FROM ({_YEARLY}) y) q",
+    "min_max_scaled": f"SELECT ticker, year, CASE WHEN hi > lo THEN round((x - lo) / (hi - lo), 6) ELSE 0e0 END AS scaled FROM ({_SCORED}) s CROSS JOIN (SELECT min(x) AS lo, max(x) AS hi FROM ({_SCORED}) s2) m",
+    "high_low_tails": f"SELECT * FROM (SELECT 'high' AS tail, ticker, year, x FROM (SELECT * FROM ({_SCORED}) s ORDER BY x DESC, ticker, year LIMIT 10) h UNION ALL SELECT 'low' AS tail, ticker, year, x FROM (SELECT * FROM ({_SCORED}) s ORDER BY x, ticker, year LIMIT 10) l) t",
+    "duplicate_keys": "SELECT ticker, year, count(*) AS n FROM {obs} GROUP BY ticker, year HAVING count(*) > 1",
+    "customers_without_large_orders": "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)",
+    "customers_with_large_orders": "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)",
+    "status_counts": "SELECT event_type, count(*) AS n, max(event_id) AS latest FROM {events} GROUP BY event_type",
+    "nearest_event": f"SELECT target, event_id FROM (SELECT *, cast(row_number() OVER (PARTITION BY target ORDER BY delta, ts, event_id) AS BIGINT) AS rk FROM ({_CAPTURE.replace('date_diff', 'DIFF')}) c) q WHERE rk = 1",
+    "change_events": "SELECT ticker, doc_id, CASE WHEN prior IS NULL THEN 'no_prior' WHEN prior = form THEN 'unchanged_exact' ELSE 'changed' END AS change_class FROM (SELECT ticker, doc_id, form, lag(form) OVER (PARTITION BY ticker ORDER BY doc_id) AS prior FROM (SELECT ticker, doc_id, trim(regexp_replace(lower(coalesce(text, '')), 'WS+', ' 'GLOBAL)) AS form FROM {obs}) n) q",
+    "running_ordinal": "SELECT doc_id, ticker, cast(row_number() OVER (PARTITION BY ticker, year ORDER BY doc_id) AS BIGINT) AS ordinal FROM {obs}",
+    "text_digest": "SELECT doc_id, SHA(coalesce(text, '')) AS digest, cast(length(coalesce(text, '')) AS BIGINT) AS chars FROM {obs}",
+    "linguistic_by_year": "SELECT year, count(*) AS docs, round(avg(n_words), 6) AS mean_words, median(n_words) AS median_words FROM (SELECT DISTINCT doc_id, year, n_words FROM {counts}) q GROUP BY year",
+}
+
+
+def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    text = sql.replace("PCT(", "percentile(").replace("DIFF('second', TIMESTAMP '2024-01-15 12:00:00', ts)", "unix_micros(cast(ts AS timestamp)) - 1705320000000000").replace("WS+", "\\\\s+").replace("GLOBAL", "").replace("SHA(", "SHA2_256(").replace("SHA2_256(coalesce(text, ''))", "sha2(coalesce(text, ''), 256)").replace("VARCHAR", "STRING")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frames = {k: f(spark, sf_dir) for k, (f, _) in _FRAMES.items() if "{" + k + "}" in text}
+        return spark.sql(text, **frames)
+
+    return run
+
+
+def _oracle(sql: str) -> str:
+    out = sql.replace("PCT(", "quantile_cont(").replace("DIFF('second', TIMESTAMP '2024-01-15 12:00:00', ts)", "epoch_us(ts) - 1705320000000000").replace("WS+", "\\s+").replace("GLOBAL", ", 'g'").replace("SHA(", "sha256(")
+    for k, (_, frame) in _FRAMES.items():
+        out = out.replace("{" + k + "}", frame)
+    return out
+
+
+QUERIES: dict = {k: _query(v) for k, v in _SQL.items()}
+ORACLES: dict = {k: _oracle(v) for k, v in _SQL.items()}

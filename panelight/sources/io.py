@@ -1,0 +1,28 @@
+"""Readers and writers: declared schemas in, fixed column lists out."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+EVENT = T.StructType([T.StructField(n, t) for n, t in (("timestamp", T.StringType()), ("stage", T.StringType()), ("status", T.StringType()), ("ticker", T.StringType()), ("year", T.IntegerType()), ("capture_count", T.LongType()))])
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Quoted multi-line CSV with fields of any length; empty strings are null."""
+    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', maxCharsPerColumn=-1, mode="FAILFAST")
+    return df.select(*[F.nullif(F.trim(c), F.lit("")).alias(c) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c) for c in df.columns])
+
+
+def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
+    """The named columns in this order; others are left out."""
+    df.select(*columns).write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=False)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EVENT).json(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.select(*sorted(df.columns)).write.mode("overwrite").json(path)

@@ -1,0 +1,17 @@
+"""Progress events as a stream: counts by stage and status."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelight.sources.io import EVENT
+
+
+def event_counts(events: DataFrame) -> DataFrame:
+    """stage, status, n and the latest timestamp; for batch and stream alike."""
+    return events.groupBy("stage", "status").agg(F.count("*").alias("n"), F.max("timestamp").alias("latest"))
+
+
+def stream_events(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.readStream.schema(EVENT).json(folder)
