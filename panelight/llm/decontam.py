@@ -137,13 +137,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, remove: st
     """
     names = docs.columns
     spans = hit_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.col(f"`{text_col}`").alias("__text")), checkpoint(benchmark_windows(benchmark, n)), "__text")
-    spans = spans.withColumn("n_hit", n_hit())
+    # the row number keeps Catalyst from moving the filter, and with it the splitting of the text, into the lambdas
+    spans = spans.select("*", n_hit().alias("n_hit"), F.monotonically_increasing_id().alias("__row"))
     if remove == "documents":
-        return spans.filter(~contaminated()).select("__doc.*")
+        return spans.filter((F.col("__row") >= 0) & ~contaminated()).select("__doc.*")
     lead = F.regexp_extract("__text", f"^{SEPARATORS}*", 0)
     pieces = F.expr(f"regexp_extract_all(__text, r'[^{SEPARATORS[1:]}+{SEPARATORS}*', 0)").alias("pieces")
-    cut = spans.select("__doc", "n_hit", "spans", "__text", lead.alias("lead"), pieces)
-    left = F.expr("concat(lead, array_join(filter(pieces, (p, i) -> NOT exists(spans, s -> i >= s.pos AND i < s.pos + s.size)), ''))")
+    hits = F.expr("array_distinct(flatten(transform(spans, s -> sequence(s.pos, s.pos + s.size - 1))))").alias("hits")
+    cut = spans.filter("__row >= 0").select("__doc", "n_hit", "__text", "__row", lead.alias("lead"), pieces, hits)
+    cut = cut.select("*", F.expr("transform(array_except(slice(sequence(0, size(pieces)), 1, size(pieces)), hits), i -> element_at(pieces, i + 1))").alias("kept_pieces"))
+    left = F.concat("lead", F.array_join("kept_pieces", ""))
     text = F.when(F.col("n_hit") > 0, left).otherwise(F.col("__text"))
     return cut.select(*[text.alias(c) if c == text_col else F.col(f"__doc.`{c}`").alias(c) for c in names])
 
