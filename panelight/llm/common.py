@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -64,20 +65,32 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: list[T.Stru
     return source.mapInArrow(run, schema)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with files in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
 
-    Where the session names none (tests, a laptop), a folder of its own is set.
+    Where the session names none (tests, a laptop), a folder of its own is made.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if named is None:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named is None:
+        made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if made.isEmpty():
             import tempfile
 
-            named = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+            made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = made.get()
+    return named.rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table written once in the shared folder and read again.
+
+    Unlike an eager ``DataFrame.checkpoint`` this computes the rows once, and later
+    reads take only the columns they need.
+    """
+    at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def crc_mod(doc_id: Column, m: int) -> Column:

@@ -140,10 +140,10 @@ def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = edges.select(F.col("v").alias("u"), F.col("m").alias("w")).union(edges.select(F.col("m").alias("u"), F.col("v").alias("w")))
-        least = checkpoint(both.groupBy("u").agg(F.min("w").alias("low")).select("u", F.least("u", "low").alias("low")))
+        least = both.groupBy("u").agg(F.min("w").alias("low")).select("u", F.least("u", "low").alias("low"))
         edges = both.join(least, "u").filter("w > u AND w <> low").select(F.col("w").alias("v"), F.col("low").alias("m")).distinct()
         edges = checkpoint(edges)
-        least = checkpoint(edges.groupBy("v").agg(F.min("m").alias("low")))
+        least = edges.groupBy("v").agg(F.min("m").alias("low"))
         joined = edges.join(least, "v")
         edges = checkpoint(joined.select(F.explode(F.array(F.struct("v", F.col("low").alias("m")), F.struct(F.col("m").alias("v"), F.col("low").alias("m")))).alias("e")).select("e.*").filter("v <> m").distinct())
         after = state(edges)
