@@ -7,11 +7,13 @@ an empty table passes through.  Extra columns of ``documents`` stay to the last
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelight.llm import bpe, decontam, langid, neardup, quality_crf
-from panelight.llm.common import crc_mod, table
+from panelight.llm.common import crc_mod, shared_folder, table
 from panelight.llm.queries import vocabulary
 
 
@@ -56,15 +58,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages; each one's rows are written as Parquet in the shared folder and read again."""
-    import uuid
-
     docs = table(spark, sf_dir, "documents")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         at = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
