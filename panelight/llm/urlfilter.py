@@ -5,6 +5,9 @@ are blocked seeds.  Trust flows along links (personalised PageRank from the
 trusted), distrust flows against them (a page that links to blocked hosts is
 distrusted).  A host is blocked when its distrust exceeds ``ratio`` times its
 trust.  Values are fixed-point integers, so sums do not depend on their order.
+They are counted in units of 10**-30 and compared so; the columns trust and
+distrust show them in whole units of 10**-12.  Flow is passed on until less than
+``BOUND`` of all trust is on its way, so no number of steps cuts it off.
 
 All steps are DataFrame operations on one row per host or host pair, which
 are aggregated before any shuffle; html is read by the scan only.
@@ -28,6 +31,10 @@ ALLOW, BLOCK = "allow", "block"
 RULES = [("org", "/", ALLOW), ("example.org", "/es/", BLOCK), ("example.org", "/en/1", BLOCK), ("com", "/fr/", ALLOW), ("com", "/de/", BLOCK)]
 #: A rank of 1, steps, and the share that follows links (of 100).
 UNIT, STEPS, DAMPING = 10**12, 8, 85
+#: Parts of a unit that are counted, and the units on their way at which the spreading ends (10**-12 of all; 171 steps at most).
+FINE, BOUND = 10**18, 1
+#: Decimal type of the counts: 31 digits, times links.
+COUNT = "decimal(38,0)"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
 
 
@@ -57,42 +64,61 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return e.filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, steps: int = STEPS, damping: int = DAMPING) -> DataFrame:
-    """host, score: personalised PageRank from ``seeds`` (host) along ``edges`` (src, dst, n)."""
+def _whole(over: str, by: str) -> str:
+    """SQL of the whole part of a quotient of counts; ``div`` would give a long."""
+    return f"cast((({over}) - ({over}) % ({by})) / ({by}) AS {COUNT})"
+
+
+def spread(seeds: DataFrame, edges: DataFrame, steps: int | None = None, damping: int = DAMPING) -> DataFrame:
+    """host, score (of UNIT * FINE): personalised PageRank from ``seeds`` (host) along ``edges`` (src, dst, n).
+
+    What is on its way is kept apart from what stays: of each host's flow ``100 - damping`` percent
+    stay and the rest goes on, until ``BOUND`` or for just ``steps``; what is left then stays where it is.
+    """
     count = F.broadcast(seeds.agg(F.greatest(F.count("*"), F.lit(1)).alias("k")))
-    base = seeds.crossJoin(count).select("host", F.expr(f"{UNIT} div k").alias("seed"))  # one row on the right
+    moving = checkpoint(seeds.crossJoin(count).select("host", F.expr(f"cast({UNIT} div k AS {COUNT}) * {FINE}BD").cast(COUNT).alias("score")))  # one row on the right
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    weighted = checkpoint(edges.join(out, "src"))
-    base = checkpoint(base)
-    scores = base.select("host", F.col("seed").alias("score"))
-    for step in range(steps):
-        flow = scores.join(weighted, scores["host"] == weighted["src"]).select(F.col("dst").alias("host"), F.expr(f"(score div total) * n * {damping} div 100").alias("score"))
-        scores = flow.unionByName(base.select("host", F.expr(f"seed * {100 - damping} div 100").alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
-        scores = checkpoint(scores)
-    return scores
-
-
-def host_scores(pages: DataFrame, rules=RULES, steps: int = STEPS) -> DataFrame:
-    """host, trust, distrust (of 10**12) of every host with any."""
+    # a host of many links passes score * part / whole on: multiplied first, with the remainder of score / whole
+    part, whole = F.expr(f"cast(n * {damping}BD AS {COUNT})"), F.expr(f"cast(total * 100BD AS {COUNT})")
+    weighted = checkpoint(edges.join(out, "src").select("src", "dst", part.alias("part"), whole.alias("whole")))
+    passed = F.expr(f"{_whole('score', 'whole')} * part + {_whole('(score % whole) * part', 'whole')}").cast(COUNT)
+    parts, step = [], 0
+    while step != steps and (moving.agg(F.sum("score")).first()[0] or 0) >= BOUND * FINE:
+        parts.append(moving.select("host", F.expr(_whole(f"score * {100 - damping}BD", "100BD")).alias("score")))
+        if len(parts) == 16:
+            parts = [checkpoint(_sums(parts))]
+        flow = moving.join(weighted, moving["host"] == weighted["src"]).select(F.col("dst").alias("host"), passed.alias("score"))
+        moving = checkpoint(_sums([flow]).filter("score > 0"))
+        step += 1
+    return checkpoint(_sums([*parts, moving]))
+
+
+def _sums(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).groupBy("host").agg(F.sum("score").cast(COUNT).alias("score"))
+
+
+def host_scores(pages: DataFrame, rules=RULES, steps: int | None = None) -> DataFrame:
+    """host, trust, distrust (of UNIT * FINE) of every host with any."""
     hosts = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).filter("host <> ''")
     judged = hosts.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).filter("r IS NOT NULL").select("host", F.col("r.verdict").alias("verdict")).distinct()
     judged, edges = checkpoint(judged), checkpoint(host_edges(pages))
     trust = spread(judged.filter(F.col("verdict") == ALLOW).select("host"), edges, steps)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = spread(judged.filter(F.col("verdict") == BLOCK).select("host"), back, steps)
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast(COUNT).alias(c)
     return trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full").select("host", zero("trust"), zero("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, ratio: int = 1, steps: int = STEPS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, ratio: int = 1, steps: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of each row of ``pages``."""
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     scores = host_scores(pages, rules, steps)
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     # only hosts that can be blocked matter to a page's verdict; adaptive execution broadcasts or splits by measured size
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).join(scores, "host", "left")
-    trust, distrust = F.coalesce("trust", F.lit(0)), F.coalesce("distrust", F.lit(0))
-    return rows.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), F.when(distrust > ratio * trust, BLOCK).otherwise(ALLOW)).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    trust, distrust = (F.coalesce(c, F.lit(0)).cast(COUNT) for c in ("trust", "distrust"))
+    units = lambda c: F.expr(f"cast({_whole(f'coalesce({c}, 0BD)', f'{FINE}BD')} AS BIGINT)").alias(c)
+    return rows.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), F.when(distrust > ratio * trust, BLOCK).otherwise(ALLOW)).alias("verdict"), units("trust"), units("distrust"))
 
 
 def oracle(rules=RULES, steps: int = STEPS, damping: int = DAMPING) -> str:

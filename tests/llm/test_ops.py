@@ -224,6 +224,23 @@ def test_url_rules_and_propagation(spark):
     assert judge(df.limit(0)).count() == 0
 
 
+def test_url_flow_of_a_host_with_more_links_than_score(spark):
+    from panelight.llm.urlfilter import FINE, UNIT, judge, spread
+
+    edges = spark.createDataFrame([("hub", "a", 3 * UNIT), ("hub", "b", 1), ("a", "a2", 7), ("a2", "hub", 1)], "src string, dst string, n long")
+    got = {r["host"]: int(r["score"]) for r in spread(spark.createDataFrame([("hub",)], "host string"), edges, steps=1).collect()}
+    assert got == {"hub": 15 * UNIT * FINE // 100, "a": UNIT * FINE * 85 * 3 * UNIT // (100 * (3 * UNIT + 1)), "b": UNIT * FINE * 85 // (100 * (3 * UNIT + 1))}
+    chain = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(12)], "src string, dst string, n long")
+    got = {r["host"]: int(r["score"]) for r in spread(spark.createDataFrame([("h0",)], "host string"), chain).collect()}
+    assert len(got) == 13 and abs(got["h11"] / (UNIT * FINE) - 0.15 * 0.85**11) < 1e-12
+    rules = [("bad.net", "/", "block"), *[(f"w{i}.net", "/", "block") for i in range(6)]]
+    pages = [(1, "http://bad.net/", ""), (2, "http://one.net/", '<a href="http://bad.net/">'), (3, "http://two.net/", '<a href="http://bad.net/">' * 3), *[(10 + i, f"http://w{i}.net/", "") for i in range(6)]]
+    rows = {r["page_id"]: r for r in rows_of(judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules))}
+    seed = UNIT // 7
+    assert rows[2]["verdict"] == rows[3]["verdict"] == "block" and (rows[2]["distrust"], rows[3]["distrust"]) == (seed * 85 * 15 // 40000, seed * 85 * 3 * 15 // 40000)
+    assert rows[1]["distrust"] == seed * 15 // 100
+
+
 def test_licences(spark, odd):
     from panelight.llm.licences import TEXTS, known_licences, scan
 
