@@ -156,6 +156,30 @@ def test_quality_rules_are_brute_force(spark, docs, odd):
         assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
+def test_bands_reject_alone(spark, docs):
+    import random
+    import string
+
+    from panelight.llm.quality_rules import judge
+
+    rnd = random.Random(5)
+
+    def noise(letters, n):
+        return " ".join("".join(rnd.choices(letters, k=rnd.randint(3, 10))) for _ in range(n))
+
+    base64, cjk, ascii_ = string.ascii_letters + string.digits + "+/", [chr(c) for c in range(0x4E00, 0x9FA5)], string.printable[:94]
+    prose = [r["text"] for r in judge(docs, keep=["text"]).filter("kept").collect()]
+    long = max(prose, key=len)
+    clean = "\n".join(prose)[: 11 * 4096]
+    one = "The same sentence again, word for word. "
+    texts = [noise(a, n) for a in (base64, cjk, ascii_) for n in (60, 300, 1500, 5000)]
+    texts += [clean + one * (9 * 4096 // len(one)), clean[: 5 * 4096] + noise(base64, 500)[:3000], long[:2000] + " " + noise(base64, 150)]
+    rows = {r["doc_id"]: r for r in rows_of(judge(spark.createDataFrame(list(enumerate([*texts, long, clean])), "doc_id long, text string")))}
+    assert len(clean) > 10 * 4096 and not any(r["base_failed"] for r in rows.values())
+    assert [i for i in rows if rows[i]["kept"]] == [len(texts), len(texts) + 1]
+    assert rows[len(texts) + 1]["n_bad_chunks"] == 0 and rows[len(texts) - 2]["n_bad_chunks"] >= 1
+
+
 def test_language_held_out(spark, sf, docs, odd):
     from panelight.llm import langid
     from panelight.llm.queries import op5_language_id
