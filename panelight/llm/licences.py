@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelight.llm.licence_digests import DIGESTS
+
 #: Known rows that may be broadcast (some 100 bytes each).
 BROADCAST_ROWS = 100_000
 #: Known notices that may go with the plan as a map.
@@ -32,6 +34,18 @@ TEXTS = {
     "MIT": 'MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "ISC": 'ISC License\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
 }
+#: Headings a whole text may have, and BSD texts with the wordings and list marks in use.
+HEADINGS = {
+    "MIT": ["", "MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "Expat License"],
+    "ISC": ["", "ISC License", "The ISC License", "ISC License (ISC)", "ISC License (ISCL)", "ISC"],
+    "BSD-2-Clause": ["", "BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD-2-Clause", "Simplified BSD License", "FreeBSD License", "BSD 2-Clause \"Simplified\" License"],
+    "BSD-3-Clause": ["", "BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD-3-Clause", "New BSD License", "Modified BSD License", "BSD License", "BSD 3-Clause \"New\" or \"Revised\" License"],
+}
+_BSD = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n{0}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n{1}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n{2}THIS SOFTWARE IS PROVIDED BY {3} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {4} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_BSD_THIRD = "{}Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+_BSD_WHO = [("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE COPYRIGHT HOLDER OR CONTRIBUTORS"), ("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE COPYRIGHT OWNER OR CONTRIBUTORS"), ("THE REGENTS AND CONTRIBUTORS", "THE REGENTS OR CONTRIBUTORS")]
+#: SPDX ids beside those of NAMES.
+SPDX = {"GPL-2.0": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0+"], "GPL-3.0": ["GPL-3.0-only", "GPL-3.0-or-later", "GPL-3.0+"], "MPL-2.0": ["MPL-2.0-no-copyleft-exception"]}
 NAMES = {"MIT": "the MIT License", "Apache-2.0": "the Apache License, Version 2.0", "GPL-2.0": "the GNU General Public License, version 2", "GPL-3.0": "the GNU General Public License, version 3", "BSD-3-Clause": "the BSD 3-Clause License", "BSD-2-Clause": "the BSD 2-Clause License", "ISC": "the ISC License", "MPL-2.0": "the Mozilla Public License, Version 2.0", "CC0-1.0": "CC0 1.0", "CC-BY-4.0": "CC BY 4.0", "CC-BY-SA-4.0": "CC BY-SA 4.0", "CC-BY-NC-4.0": "CC BY-NC 4.0", "CC-BY-ND-4.0": "CC BY-ND 4.0", "CC-BY-NC-SA-4.0": "CC BY-NC-SA 4.0"}
 NOTICES = ["Licensed under {}.", "Released under {}.", "Distributed under {}.", "This work is licensed under {}.", "This project is licensed under {}.", "This software is released under {}.", "SPDX-License-Identifier: {}"]
 
@@ -55,11 +69,27 @@ def known_rows() -> list[tuple[str, str, str]]:
     return rows + [("line", k, f"SPDX-License-Identifier: {k}") for k in NAMES]
 
 
+def further_rows() -> list[tuple[str, str, str]]:
+    """Known texts that the SQL doesn't list: whole texts with other headings and wordings, and further SPDX ids."""
+    bodies = {k: [v.split("\n\n", 1)[1]] for k, v in TEXTS.items()}
+    for one, two, three in (("1. ", "2. ", "3. "), ("* ", "* ", "* ")):
+        for holders, liable in _BSD_WHO:
+            bodies.setdefault("BSD-2-Clause", []).append(_BSD.format(one, two, "", holders, liable))
+            for name in ("the copyright holder", "the University", "the copyright owner"):
+                bodies.setdefault("BSD-3-Clause", []).append(_BSD.format(one, two, _BSD_THIRD.format(three, name), holders, liable))
+    rows = [("text", k, f"{h}\n\n{b}") for k, texts in bodies.items() for b in texts for h in HEADINGS[k]]
+    return rows + [("line", k, f"SPDX-License-Identifier: {i}") for k, ids in SPDX.items() for i in ids]
+
+
 def known_licences(spark: SparkSession, rows: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """kind (text or line), licence, digest, length of the known texts; several spellings may share a digest."""
-    df = spark.createDataFrame(rows if rows is not None else known_rows(), "kind string, licence string, text string")
+    df = spark.createDataFrame(rows if rows is not None else known_rows() + further_rows(), "kind string, licence string, text string")
     form = canonical(F.col("text"))
-    return df.select("kind", "licence", digest(form).alias("digest"), F.length(form).alias("length")).groupBy("kind", "digest").agg(F.min("licence").alias("licence"), F.max("length").alias("length"))
+    df = df.select("kind", "licence", digest(form).alias("digest"), F.length(form).alias("length"))
+    if rows is None:
+        long = [("text", k, x, 0) for k, digests in DIGESTS.items() for x in digests]
+        df = df.unionByName(spark.createDataFrame(long, "kind string, licence string, digest string, length int"))
+    return df.groupBy("kind", "digest").agg(F.min("licence").alias("licence"), F.max("length").alias("length"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -280,6 +280,26 @@ def test_licences(spark, odd):
     assert known_licences(spark, []).count() == 0
 
 
+def test_whole_licences_and_ids(spark):
+    import os
+
+    from panelight.llm.licences import TEXTS, scan
+
+    mit = TEXTS["MIT"].split("\n\n", 1)[1]
+    bsd = 'Copyright (c) 2020, Some One\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n* Redistributions of source code must retain the above copyright notice, this\n  list of conditions and the following disclaimer.\n\n* Redistributions in binary form must reproduce the above copyright notice,\n  this list of conditions and the following disclaimer in the documentation\n  and/or other materials provided with the distribution.\n\n{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE\nFOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL\nDAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR\nSERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER\nCAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,\nOR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE\nOF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.\n'
+    third = "* Neither the name of the copyright holder nor the names of its\n  contributors may be used to endorse or promote products derived from\n  this software without specific prior written permission.\n\n"
+    texts = [("MIT", mit), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 A B\n\n" + mit), ("BSD-2-Clause", "BSD 2-Clause License\n\n" + bsd.format("")), ("BSD-3-Clause", bsd.format(third)), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + bsd.format(third))]
+    texts += [("GPL-3.0", "// SPDX-License-Identifier: GPL-3.0-only"), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later")]
+    for licence, name in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        at = f"/usr/share/common-licenses/{name}"
+        if os.path.exists(at):
+            with open(at) as f:
+                texts.append((licence, f.read()))
+            texts.append((licence, "\n\n".join(" ".join(p.split()) for p in re.split(r"\n[ \t\f]*\n", texts[-1][1]))))
+    got = {r["doc_id"]: r["licence"] for r in rows_of(scan(spark.createDataFrame([(i, x) for i, (_, x) in enumerate(texts)], "doc_id long, text string")))}
+    assert [got[i] for i in range(len(texts))] == [k for k, _ in texts]
+
+
 @pytest.mark.parametrize("plan_windows", [0, 50_000])
 def test_decontamination_edges(spark, odd, plan_windows):
     from panelight.llm.decontam import decontaminate, report
