@@ -2,7 +2,7 @@
 
 Bytes are embedded, filters of several widths slide over fixed-length windows,
 each filter's maximum over the window goes into a softmax.  The network is
-trained in numpy on labelled text (a bounded sample, ``SAMPLE`` rows) and is
+trained in numpy on labelled text (a bounded sample with every language in it) and is
 applied to every window of a text; windows are averaged by their bytes.
 
 A null text, or one without a letter, is ``und`` with score 0.0.  With no labelled
@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from panelight.llm.common import crc_mod, map_texts
 
-#: Labelled rows that a network is fitted on, and the languages it can learn (the most frequent ones).
-SAMPLE, LANGUAGES = 6_000, 200
+#: Labelled rows that a network is fitted on, besides one row of each language that these miss.
+SAMPLE = 6_000
 #: Bytes of a window; characters of a training row, from a place of its own in the text.
 WINDOW, TRAIN_CHARS = 256, 700
 UNKNOWN = "und"
@@ -131,17 +131,20 @@ def predict(net: ByteNet | None, texts: list[str]) -> tuple[list[str], list[floa
 
 
 def labelled(docs: DataFrame, learn, sample: int = SAMPLE) -> list:
-    """(lang, text) of at most ``sample`` rows for which ``learn`` holds; rare languages keep a larger share."""
+    """(lang, text) of at most ``sample`` rows for which ``learn`` holds, and a row of each language that is not among them; rare languages keep a larger share."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return []
-    each = sample // len(counts)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / r["count"]))])
     h = F.xxhash64(F.col("doc_id").cast("string"), F.lit(17))
     start = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(18)), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(1))) + 1
-    picked = rows.filter(F.pmod(h, F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20))
-    return picked.select(h.alias("h"), "lang", F.substring("text", start, F.lit(TRAIN_CHARS)).alias("text")).orderBy("h", "lang", "text").limit(sample).select("lang", "text").collect()
+    part = F.substring("text", start, F.lit(TRAIN_CHARS))
+    languages = rows.groupBy("lang").agg(F.count("*").alias("count"), F.min(F.struct(h.alias("h"), part.alias("text")))["text"].alias("text")).orderBy(F.desc("count"), "lang").collect()
+    if not languages:
+        return []
+    each = sample // len(languages)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in languages], "lang string, share double")
+    picked = rows.join(F.broadcast(shares), "lang").filter(F.pmod(h, F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    found = picked.select(h.alias("h"), "lang", part.alias("text")).orderBy("h", "lang", "text").limit(sample).select("lang", "text").collect()
+    seen = {r["lang"] for r in found}
+    return found + [r for r in languages if r["lang"] not in seen]
 
 
 def train(docs: DataFrame, learn, sample: int = SAMPLE) -> ByteNet | None:

@@ -195,6 +195,19 @@ def test_language_held_out(spark, sf, docs, odd):
     assert rows_of(langid.report(odd.limit(0))) == []
 
 
+def test_every_labelled_language_is_learnt(spark):
+    from pyspark.sql import functions as F
+
+    from panelight.llm.langid import labelled
+
+    rows = [(i, f"words of l{i % 250}", f"l{i % 250}") for i in range(260)] + [(1000 + i, "many", "en") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for sample in (40, 300, 6000):
+        got = labelled(docs, F.lit(True), sample)
+        assert {r["lang"] for r in got} == {r[2] for r in rows} and len(got) <= sample + 251
+        assert all(r["lang"] == "en" or r["text"] == f"words of {r['lang']}" for r in got)
+
+
 def test_quality_held_out(spark, sf, docs, odd):
     from panelight.llm import quality_crf
     from panelight.llm.queries import op10_quality_classifier
