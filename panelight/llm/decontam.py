@@ -53,19 +53,19 @@ def _longs(values) -> str:
 def _spans_in_plan(df: DataFrame, windows: list, text_col: str) -> DataFrame:
     """Adds n_words and spans from sets in the plan: no join, no shuffle, every column stays."""
     spark = df.sparkSession
-    df = df.withColumn("__words", words(F.lower(F.coalesce(F.col(text_col), F.lit("")))))
+    df = df.withColumn("__words", words(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))))
     if not windows:
         return df.select("*", F.size("__words").cast("long").alias("n_words"), F.expr("cast(array() as array<struct<pos: int, size: int, window: string>>)").alias("spans")).drop("__words")
     sizes: dict[int, list[str]] = {}
     for r in windows:
         sizes.setdefault(r["size"], []).append(r["window"])
-    # hashes come from Spark itself; anchors are of texts in full lower case, which equal A-Z lower case implies
+    # hashes come from Spark itself; anchors, as windows, are of texts in A-Z lower case: full lower case depends on what is around a word
     hashed = spark.createDataFrame([(s, w) for s, ws in sizes.items() for w in ws], "size int, window string")
     looks, finds = [], []
     for size, ws in sorted(sizes.items()):
         a, stride = _anchor(size)
         mine = hashed.filter(F.col("size") == size)
-        anchors = {r[0] for r in mine.select(F.explode(F.expr(f"transform(sequence(1, {size - a + 1}), i -> xxhash64(slice(split(lower(window), ' '), i, {a})))"))).collect()}
+        anchors = {r[0] for r in mine.select(F.explode(F.expr(f"transform(sequence(1, {size - a + 1}), i -> xxhash64(slice(split(window, ' '), i, {a})))"))).collect()}
         full = {r[0] for r in mine.select(F.expr("xxhash64(split(window, ' '))")).collect()}
         looks.append(f"(size(__words) >= {size} AND exists(sequence(1, size(__words) - {a - 1}, {stride}), i -> xxhash64(slice(__words, i, {a})) IN ({_longs(anchors)})))")
         quoted = ",".join(f"'{w}'" for w in sorted(ws))  # words hold no ASCII punctuation, hence no quote

@@ -331,6 +331,16 @@ def test_decontamination_edges(spark, odd, plan_windows):
     assert report(df.limit(0), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("plan_windows", [0, 50_000])
+def test_decontamination_of_greek_capitals(spark, plan_windows):
+    from panelight.llm.decontam import report
+
+    bench = spark.createDataFrame([(1, "ΕΛΛΑΣ.ΤΟ")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "ΕΛΛΑΣ.ΤΟ y"), (2, "ΕΛΛΑΣ ΤΟ"), (3, "ελλας το")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["contaminated"]) for r in rows_of(report(docs, bench, plan_windows=plan_windows))}
+    assert got == {1: (2, True), 2: (2, True), 3: (0, False)}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as C
     from panelight.llm import bpe, decontam
