@@ -3,11 +3,18 @@
 The pre-tokens of a batch are held as ragged numpy arrays: one flat array of
 symbols, one of adjacent ranks, and the sequence of each symbol.  In each
 round every sequence that still has a ranked pair merges its lowest one (the
-leftmost of equals) at the same time; what survives is counted.
+leftmost of equals) at the same time; what survives is counted.  A round costs
+all symbols of the batch, and an unbroken run of n letters needs up to n
+rounds, so pre-tokens over ``LONG`` symbols are merged one by one instead, in
+the same order, with a heap over linked symbols: n log n steps.
+
+Null and empty texts have no tokens; texts of any length are counted whole.  Of
+equal ranks the leftmost pair merges first.  Repeated rows get equal results, an empty table gives none.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from functools import lru_cache
 
@@ -20,6 +27,8 @@ from panelight.llm.common import map_texts
 
 #: Entries of one generation of a worker's table of counted pre-tokens.
 TABLE = 200_000
+#: Symbols of a pre-token that is merged with a heap.
+LONG = 1024
 #: Symbols merged in one go.
 GO = 1 << 20
 NONE = np.int64(1) << 40
@@ -58,6 +67,7 @@ class PieceCounter:
                 a, b = self.symbols.get(p[:k]), self.symbols.get(p[k:])
                 if a is not None and b is not None:
                     pairs[a * (self.other + 1) + b] = (order[score], self.symbols[p])
+        self.pairs = pairs
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.rank, self.into = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64).T
         inner = {c for p in pieces if len(p) > 1 for c in p}
@@ -117,9 +127,34 @@ class PieceCounter:
                 rank[i], into[i] = np.where(last | (seq[i] != seq[j]), NONE, r), t
         return total
 
+    def merge_long(self, word: str) -> int:
+        """Tokens of one long pre-token: lowest rank, then leftmost, from a heap whose stale entries are skipped."""
+        text = word.replace(" ", SPACE)
+        ids = [self.symbols.get(c, self.other) for c in text]
+        n, total = len(ids), sum(len(c.encode("utf-8", "surrogatepass")) for c, i in zip(text, ids) if i == self.other)
+        pairs, width = self.pairs, self.other + 1
+        after, before, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
+        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := pairs.get(ids[i] * width + ids[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, into = heapq.heappop(heap)
+            j = after[i] if alive[i] else -1
+            if j < 0 or ids[i] != a or ids[j] != b:
+                continue
+            ids[i], alive[j], after[i] = into, False, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y >= 0 and (r := pairs.get(ids[x] * width + ids[y])):
+                    heapq.heappush(heap, (r[0], x, ids[x], ids[y], r[1]))
+        return total + int(self.weight[[x for x, live in zip(ids, alive) if live]].sum())
+
     def learn(self, words: set[str]) -> None:
         go, size = [], 0
         for w in words:
+            if len(w) > LONG:
+                self.table[w] = self.merge_long(w)
+                continue
             go.append(w)
             size += len(w)
             if size >= GO:
