@@ -2,11 +2,14 @@
 
 Bytes are embedded, filters of several widths slide over fixed-length windows,
 each filter's maximum over the window goes into a softmax.  The network is
-trained in numpy on labelled text (a bounded sample with every language in it) and is
-applied to every window of a text; windows are averaged by their bytes.
+trained in numpy on a bounded sample of windows of labelled texts, drawn from any
+place of whole texts and with every language in it, and is applied to every
+window of a text; windows are averaged by their bytes.
 
 A null text, or one without a letter, is ``und`` with score 0.0.  With no labelled
-row to learn from, every text is ``und``.  Repeated rows get equal results.
+row to learn from, every text is ``und``.  Of languages with equal probability the
+first in string order wins.  Repeated rows get equal results; a text of any length is
+read whole, in windows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from pyspark.sql import types as T
 
 from panelight.llm.common import crc_mod, map_texts
 
-#: Labelled rows that a network is fitted on, besides one row of each language that these miss.
-SAMPLE = 6_000
-#: Bytes of a window; characters of a training row, from a place of its own in the text.
-WINDOW, TRAIN_CHARS = 256, 700
+#: Labelled rows whose windows a network is fitted on, and at most so many of these windows, besides one window of each language that these miss.
+SAMPLE, SAMPLE_WINDOWS = 6_000, 18_000
+#: Bytes of a window.
+WINDOW = 256
 UNKNOWN = "und"
 
 
@@ -65,6 +68,30 @@ class ByteNet:
         parts = [self.softmax(np.maximum(self.pooled(self.columns(x[i : i + self.GO])).max(axis=1) + self.bias, 0)) for i in range(0, len(x), self.GO)]
         return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)), np.float32)
 
+    def loss(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+        return float((-np.log(self.predict(x)[np.arange(len(x)), y]) * weight).mean())
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple:
+        """Those of ``loss`` by embedding, filters, bias, output weights and output bias."""
+        wide, n = max(self.WIDTHS), len(x)
+        cols = self.columns(x)
+        act = self.pooled(cols)
+        top = act.argmax(axis=1)  # (n, filters)
+        h = np.take_along_axis(act, top[:, None], 1)[:, 0] + self.bias
+        r = np.maximum(h, 0)
+        p = self.softmax(r)
+        p[np.arange(n), y] -= 1
+        p *= weight[:, None] / n
+        d = (p @ self.out.T) * (h > 0)
+        near = cols[np.arange(n)[:, None], top]  # (n, filters, wide * DIM)
+        back = (d[:, :, None] * self.filters.T[None]).reshape(-1, self.DIM)
+        places = (top[:, :, None] + np.arange(wide)).reshape(n, -1)
+        seen = np.take_along_axis(np.pad(x, ((0, 0), (0, wide - 1))), places, 1).ravel()
+        g_e = np.zeros_like(self.embed)
+        np.add.at(g_e, seen, back)
+        g_e[0] = 0
+        return g_e, np.einsum("nf,nfk->kf", d, near) * self.mask, d.sum(axis=0), r.T @ p, p.sum(axis=0)
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.004, seed: int = 6) -> None:
         """Adam on the cross-entropy; classes weigh alike."""
         rng = np.random.default_rng(seed)
@@ -73,33 +100,13 @@ class ByteNet:
         weight = np.minimum(weight, 10)
         params = [self.embed, self.filters, self.bias, self.out, self.out_bias]
         m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        wide = max(self.WIDTHS)
         for epoch in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
                 k = order[at : at + batch]
-                n, xs = len(k), x[k]
-                cols = self.columns(xs)
-                act = self.pooled(cols)
-                top = act.argmax(axis=1)  # (n, filters)
-                h = np.take_along_axis(act, top[:, None], 1)[:, 0] + self.bias
-                r = np.maximum(h, 0)
-                p = self.softmax(r)
-                p[np.arange(n), y[k]] -= 1
-                p *= weight[k][:, None] / n
-                g_out, g_ob = r.T @ p, p.sum(axis=0)
-                d = (p @ self.out.T) * (h > 0)
-                near = cols[np.arange(n)[:, None], top]  # (n, filters, wide * DIM)
-                g_f = np.einsum("nf,nfk->kf", d, near) * self.mask
-                back = (d[:, :, None] * self.filters.T[None]).reshape(-1, self.DIM)
-                places = (top[:, :, None] + np.arange(wide)).reshape(n, -1)
-                seen = np.take_along_axis(np.pad(xs, ((0, 0), (0, wide - 1))), places, 1).ravel()
-                g_e = np.zeros_like(self.embed)
-                np.add.at(g_e, seen, back)
-                g_e[0] = 0
                 step += 1
                 lr = rate * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                for q, g, a, b in zip(params, (g_e, g_f, d.sum(axis=0), g_out, g_ob), m, v):
+                for q, g, a, b in zip(params, self.gradients(x[k], y[k], weight[k]), m, v):
                     a += 0.1 * (g - a)
                     b += 0.001 * (g * g - b)
                     q -= (lr * a / (np.sqrt(b) + 1e-7)).astype(np.float32)
@@ -130,34 +137,39 @@ def predict(net: ByteNet | None, texts: list[str]) -> tuple[list[str], list[floa
     return [net.languages[b] if a else UNKNOWN for a, b in zip(letters, best.tolist())], [min(1.0, float(p[i, b])) if letters[i] else 0.0 for i, b in enumerate(best)]
 
 
-def labelled(docs: DataFrame, learn, sample: int = SAMPLE) -> list:
-    """(lang, text) of at most ``sample`` rows for which ``learn`` holds, and a row of each language that is not among them; rare languages keep a larger share."""
-    rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    h = F.xxhash64(F.col("doc_id").cast("string"), F.lit(17))
-    start = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(18)), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(1))) + 1
-    part = F.substring("text", start, F.lit(TRAIN_CHARS))
-    languages = rows.groupBy("lang").agg(F.count("*").alias("count"), F.min(F.struct(h.alias("h"), part.alias("text")))["text"].alias("text")).orderBy(F.desc("count"), "lang").collect()
+def labelled(docs: DataFrame, learn, sample: int = SAMPLE, sample_windows: int = SAMPLE_WINDOWS) -> list:
+    """(lang, window) of at most ``sample_windows`` windows of about ``sample`` rows for which ``learn`` holds, and one of each language that is not among them.
+
+    Rare languages keep a larger share of their rows.  A language whose texts are all empty is not learnt.
+    """
+    rows = docs.filter(learn & F.col("lang").isNotNull()).select("doc_id", "lang", F.col("text").cast("binary").alias("b")).filter("octet_length(b) > 0")
+    of = lambda *c: F.xxhash64(F.col("doc_id").cast("string"), *c)
+    h, count = of(F.lit(17)), F.ceil(F.octet_length("b") / WINDOW)
+    window = lambda i: F.expr(f"substring(b, cast({i} * {WINDOW} + 1 AS int), {WINDOW})")
+    one = rows.select("lang", h.alias("h"), "b", F.pmod(of(F.lit(18)), count).alias("i")).select("lang", "h", window("i").alias("window"))
+    languages = one.groupBy("lang").agg(F.count("*").alias("count"), F.min(F.struct("h", "window"))["window"].alias("window")).orderBy(F.desc("count"), "lang").collect()
     if not languages:
         return []
     each = sample // len(languages)
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in languages], "lang string, share double")
     picked = rows.join(F.broadcast(shares), "lang").filter(F.pmod(h, F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    found = picked.select(h.alias("h"), "lang", part.alias("text")).orderBy("h", "lang", "text").limit(sample).select("lang", "text").collect()
+    every = picked.select("doc_id", "lang", "b", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("i"))
+    found = every.select(of("i").alias("h"), "lang", window("i").alias("window")).orderBy("h", "lang", "window").limit(sample_windows).select("lang", "window").collect()
     seen = {r["lang"] for r in found}
     return found + [r for r in languages if r["lang"] not in seen]
 
 
-def train(docs: DataFrame, learn, sample: int = SAMPLE) -> ByteNet | None:
+def train(docs: DataFrame, learn, sample: int = SAMPLE, sample_windows: int = SAMPLE_WINDOWS) -> ByteNet | None:
     """A network from the rows of ``docs`` (doc_id, text, lang) for which ``learn`` holds."""
-    rows = labelled(docs, learn, sample)
+    rows = labelled(docs, learn, sample, sample_windows)
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
-    x, of, size = windows([r["text"] for r in rows])
+    x = np.frombuffer(b"".join(bytes(r["window"]).ljust(WINDOW, b"\0") for r in rows), np.uint8).reshape(-1, WINDOW)
     code = {name: i for i, name in enumerate(languages)}
-    y = np.array([code[r["lang"]] for r in rows], dtype=np.int64)[of]
+    y = np.array([code[r["lang"]] for r in rows], dtype=np.int64)
     net = ByteNet(languages)
-    if len(languages) > 1 and len(x):
+    if len(languages) > 1:
         # a window is as often cut short as a short text is
         rng = np.random.default_rng(7)
         short = x.copy()
