@@ -1,7 +1,7 @@
 """URL filters: rules first, then trust and distrust propagated over the host graph.
 
 Hosts that an allow rule fits are trusted seeds, hosts that a block rule fits
-are blocked seeds.  Trust flows along links (personalised PageRank from the
+are blocked seeds; every seed of either side has the same weight.  Trust flows along links (personalised PageRank from the
 trusted), distrust flows against them (a page that links to blocked hosts is
 distrusted).  A host is blocked when its distrust exceeds ``ratio`` times its
 trust.  Values are fixed-point integers, so sums do not depend on their order.
@@ -14,7 +14,8 @@ are aggregated before any shuffle; html is read by the scan only.
 
 A null url, or one without ``://``, has an empty host and path; it fits no rule
 and takes the verdict of a host without evidence, allow.  A null html
-has no links.  Repeated pages are each reported.
+has no links.  Repeated pages are each reported.  A host with as much trust as
+distrust (a tie) is allowed.  Links of a page of any length are all read.
 """
 
 from __future__ import annotations
@@ -69,13 +70,15 @@ def _whole(over: str, by: str) -> str:
     return f"cast((({over}) - ({over}) % ({by})) / ({by}) AS {COUNT})"
 
 
-def spread(seeds: DataFrame, edges: DataFrame, steps: int | None = None, damping: int = DAMPING) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, steps: int | None = None, damping: int = DAMPING, among: DataFrame | None = None) -> DataFrame:
     """host, score (of UNIT * FINE): personalised PageRank from ``seeds`` (host) along ``edges`` (src, dst, n).
 
+    Each seed begins with its part of UNIT among the rows of ``among`` (else of ``seeds``).
+
     What is on its way is kept apart from what stays: of each host's flow ``100 - damping`` percent
     stay and the rest goes on, until ``BOUND`` or for just ``steps``; what is left then stays where it is.
     """
-    count = F.broadcast(seeds.agg(F.greatest(F.count("*"), F.lit(1)).alias("k")))
+    count = F.broadcast((seeds if among is None else among).agg(F.greatest(F.count("*"), F.lit(1)).alias("k")))
     moving = checkpoint(seeds.crossJoin(count).select("host", F.expr(f"cast({UNIT} div k AS {COUNT}) * {FINE}BD").cast(COUNT).alias("score")))  # one row on the right
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     # a host of many links passes score * part / whole on: multiplied first, with the remainder of score / whole
@@ -102,9 +105,10 @@ def host_scores(pages: DataFrame, rules=RULES, steps: int | None = None) -> Data
     hosts = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).filter("host <> ''")
     judged = hosts.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).filter("r IS NOT NULL").select("host", F.col("r.verdict").alias("verdict")).distinct()
     judged, edges = checkpoint(judged), checkpoint(host_edges(pages))
-    trust = spread(judged.filter(F.col("verdict") == ALLOW).select("host"), edges, steps)
+    # seeds of both sides weigh alike, so how many others there are of either side does not matter
+    trust = spread(judged.filter(F.col("verdict") == ALLOW).select("host"), edges, steps, among=judged)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = spread(judged.filter(F.col("verdict") == BLOCK).select("host"), back, steps)
+    distrust = spread(judged.filter(F.col("verdict") == BLOCK).select("host"), back, steps, among=judged)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast(COUNT).alias(c)
     return trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full").select("host", zero("trust"), zero("distrust"))
 
@@ -135,7 +139,7 @@ def oracle(rules=RULES, steps: int = STEPS, damping: int = DAMPING) -> str:
     ]
     for name, verdict, a, b in (("t", ALLOW, "src", "dst"), ("d", BLOCK, "dst", "src")):
         parts.append(f"w{name} AS MATERIALIZED (SELECT {a} AS src, {b} AS dst, n, sum(n) OVER (PARTITION BY {a}) AS total FROM e)")
-        parts.append(f"b{name} AS MATERIALIZED (SELECT host, {UNIT} // count(*) OVER () AS seed FROM j WHERE verdict = '{verdict}')")
+        parts.append(f"b{name} AS MATERIALIZED (SELECT host, {UNIT} // (SELECT count(*) FROM j) AS seed FROM j WHERE verdict = '{verdict}')")
         parts.append(f"{name}0 AS MATERIALIZED (SELECT host, seed AS score FROM b{name})")
         for i in range(steps):
             parts.append(
