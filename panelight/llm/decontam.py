@@ -1,16 +1,22 @@
 """Benchmark decontamination in DataFrame operations only.
 
-The n-grams of the benchmark are a hash set that travels inside the plan, so a
-scan of the documents needs no join and no shuffle: a document is looked at
-closely only if one of its sparse anchors (every ``stride``-th short n-gram; any
-window holds one) is in the set of benchmark anchors, and then each window is
-looked up by hash and verified by its words.  A benchmark too large for a set
-in the plan (``PLAN_WINDOWS``) is joined on the window hashes instead.
+The normalised n-grams of the benchmark are a set of windows.  Of every document
+only sparse anchors (each ``stride``-th short n-gram; any window holds exactly one
+that begins at a multiple of the stride) are looked up by hash in the set of the
+benchmark's anchors.  Round the few that are found the windows themselves are
+looked up, by their words, so every hit is verified.  Both sets are broadcast
+when their measured bytes are below ``BROADCAST_BYTES``; above it the same
+look-ups are shuffle joins, before which each anchor takes the words around it
+along instead of the whole text.  Rows and results are the same either way.
+
+Hits depend on the text alone, so they are kept by its SHA-256: equal texts
+are looked up as one and no row needs a number of its own.
 
 Words: runs of digits, a-z and all characters beyond ASCII, after lower-casing
 A-Z.  A window is ``n`` consecutive words of an item; an item of fewer words
 (but not none) is one window.  Null and empty texts have no words, are never
-hit, and as items hit nothing.  Repeated rows are each reported.
+hit, and as items hit nothing.  Repeated rows are each reported.  A text of any length
+is split in one task; its hits are at most its words.  Items that share a window (ties) are all reported.
 """
 
 from __future__ import annotations
@@ -22,10 +28,8 @@ from panelight.llm.common import LOWER, UPPER, ascii_lower, checkpoint
 
 #: Separators, in a text of either case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-#: Windows that may travel in the plan (some 100 bytes each); more are joined.
-PLAN_WINDOWS = 50_000
-#: Windows that may be broadcast with their item ids.
-BROADCAST_WINDOWS = 500_000
+#: Bytes of windows that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def words(lowered: Column) -> Column:
@@ -33,81 +37,67 @@ def words(lowered: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 13, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """size, window (words joined by blanks) and items (sorted ids as strings) of each distinct window."""
+    """item (id as string), size and window (words joined by blanks): the distinct windows of every item."""
     w = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), words(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
     w = w.filter("size(w) > 0").select("item", "w", F.least(F.size("w"), F.lit(n)).alias("size"))
-    w = w.select("item", "size", F.explode(F.expr("transform(sequence(1, size(w) - size + 1), i -> array_join(slice(w, i, size), ' '))")).alias("window"))
-    return w.groupBy("size", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return w.select("item", "size", F.explode(F.expr("transform(sequence(1, size(w) - size + 1), i -> array_join(slice(w, i, size), ' '))")).alias("window")).distinct()
 
 
 def _anchor(size: int) -> tuple[int, int]:
-    """(words, stride): any window of ``size`` words holds an anchor that starts at a multiple of the stride."""
+    """(words, stride): any window of ``size`` words holds one anchor that starts at a multiple of the stride."""
     a = (size + 1) // 2
     return a, size - a + 1
 
 
-def _longs(values) -> str:
-    return ",".join(f"{v}L" if v > -(1 << 63) else "CAST('-9223372036854775808' AS BIGINT)" for v in sorted(values))
+def _key(col: Column) -> Column:
+    return F.sha2(F.coalesce(col, F.lit("")), 256)
 
 
-def _spans_in_plan(df: DataFrame, windows: list, text_col: str) -> DataFrame:
-    """Adds n_words and spans from sets in the plan: no join, no shuffle, every column stays."""
-    spark = df.sparkSession
-    df = df.withColumn("__words", words(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))))
-    if not windows:
-        return df.select("*", F.size("__words").cast("long").alias("n_words"), F.expr("cast(array() as array<struct<pos: int, size: int, window: string>>)").alias("spans")).drop("__words")
-    sizes: dict[int, list[str]] = {}
-    for r in windows:
-        sizes.setdefault(r["size"], []).append(r["window"])
-    # hashes come from Spark itself; anchors, as windows, are of texts in A-Z lower case: full lower case depends on what is around a word
-    hashed = spark.createDataFrame([(s, w) for s, ws in sizes.items() for w in ws], "size int, window string")
-    looks, finds = [], []
-    for size, ws in sorted(sizes.items()):
-        a, stride = _anchor(size)
-        mine = hashed.filter(F.col("size") == size)
-        anchors = {r[0] for r in mine.select(F.explode(F.expr(f"transform(sequence(1, {size - a + 1}), i -> xxhash64(slice(split(window, ' '), i, {a})))"))).collect()}
-        full = {r[0] for r in mine.select(F.expr("xxhash64(split(window, ' '))")).collect()}
-        looks.append(f"(size(__words) >= {size} AND exists(sequence(1, size(__words) - {a - 1}, {stride}), i -> xxhash64(slice(__words, i, {a})) IN ({_longs(anchors)})))")
-        quoted = ",".join(f"'{w}'" for w in sorted(ws))  # words hold no ASCII punctuation, hence no quote
-        finds.append(
-            f"CASE WHEN size(__exact) >= {size} THEN transform(filter(sequence(1, size(__exact) - {size - 1}), i -> xxhash64(slice(__exact, i, {size})) IN ({_longs(full)})"
-            f" AND array_join(slice(__exact, i, {size}), ' ') IN ({quoted})), i -> named_struct('pos', i - 1, 'size', {size}, 'window', array_join(slice(__exact, i, {size}), ' ')))"
-            " ELSE cast(array() as array<struct<pos: int, size: int, window: string>>) END"
-        )
-    df = df.withColumn("__near", F.expr(" OR ".join(looks)))
-    df = df.withColumn("__exact", F.when(F.col("__near"), words(F.translate(F.col(text_col), UPPER, LOWER))).otherwise(F.expr("cast(array() as array<string>)")))
-    out = f"concat({', '.join(finds)})" if len(finds) > 1 else finds[0]
-    return df.select("*", F.size("__words").cast("long").alias("n_words"), F.expr(out).alias("spans")).drop("__words", "__near", "__exact")
-
-
-def _spans_by_join(df: DataFrame, windows: DataFrame, text_col: str) -> DataFrame:
-    """The same by a join on two 64-bit hashes of each window, for a benchmark of any size."""
-    pair = "named_struct('a', xxhash64(slice({w}, i, {n})), 'b', xxhash64(slice({w}, i, {n}), 7))"
-    lengths = [r[0] for r in windows.select("size").distinct().collect()]  # at most n of them
-    df = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__words", words(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))))
-    parts = [f"CASE WHEN size(__words) >= {n} THEN transform(sequence(1, size(__words) - {n - 1}), i -> named_struct('pos', i - 1, 'size', {n}, 'h', {pair.format(w='__words', n=n)})) ELSE cast(array() as array<struct<pos: int, size: int, h: struct<a: bigint, b: bigint>>>) END" for n in sorted(lengths)]
-    every = df.select("__row", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("p")).select("__row", "p.pos", "p.size", F.col("p.h.a").alias("__a"), F.col("p.h.b").alias("__b"))
-    known = windows.select("size", "window", F.expr("xxhash64(split(window, ' '))").alias("__a"), F.expr("xxhash64(split(window, ' '), 7)").alias("__b"))
-    found = every.join(known, ["size", "__a", "__b"]).groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("pos", "size", "window"))).alias("spans"))
-    none = F.expr("cast(array() as array<struct<pos: int, size: int, window: string>>)")
-    return df.join(found, "__row", "left").select(*[F.col(f"`{c}`") for c in df.columns if c not in ("__row", "__words")], F.size("__words").cast("long").alias("n_words"), F.coalesce("spans", none).alias("spans"))
-
-
-def hit_spans(df: DataFrame, windows: DataFrame, text_col: str = "text", plan_windows: int = PLAN_WINDOWS) -> DataFrame:
-    """``df`` with n_words and spans: (pos, size, window) of every benchmark window in the text, verified by its words.
-
-    Columns of ``df`` with these names give way.  The windows are counted
-    before any is taken to the driver: at most ``plan_windows`` are.
+def hits(texts: DataFrame, windows: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """key (SHA-256 of the text), pos (from 0), size, window: every benchmark window in the texts (column text).
+
+    ``windows`` should be a written table; it is read several times.
     """
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("n_words", "spans")])
-    some = windows.select("size", "window").limit(plan_windows + 1).collect()
-    return _spans_in_plan(df, some, text_col) if len(some) <= plan_windows else _spans_by_join(df, windows, text_col)
+    distinct = windows.select("size", "window").distinct()
+    sizes = sorted(r["size"] for r in distinct.select("size").distinct().collect())  # at most n of them
+    known = distinct.agg(F.coalesce(F.sum(F.octet_length("window") + 64), F.lit(0))).first()[0]
+    small = known <= broadcast_bytes
+    found = []
+    every = texts.select("text", words(ascii_lower(F.coalesce(F.col("text"), F.lit("")))).alias("w"))
+    for size in sizes:
+        a, stride = _anchor(size)
+        of = distinct.filter(F.col("size") == size)
+        anchors = of.select(F.explode(F.expr(f"transform(sequence(1, {size - a + 1}), i -> xxhash64(slice(split(window, ' '), i, {a})))")).alias("h")).distinct()
+        # posexplode counts the anchors; the one at ``j`` begins at word j * stride + 1 and lies in the windows that begin up to stride - 1 words before
+        looked_up = f"CASE WHEN size(w) >= {size} THEN transform(sequence(1, size(w) - {a - 1}, {stride}), i -> xxhash64(slice(w, i, {a}))) ELSE cast(array() as array<bigint>) END"
+        at = every.select("text", "w", F.posexplode(F.expr(looked_up)).alias("j", "h"))
+        first = f"greatest(j * {stride} + 2 - {stride}, 1)"
+        around = [_key(F.col("text")).alias("key"), F.expr(f"{first} - 1").alias("start"), F.expr(f"slice(w, {first}, j * {stride} + {size} - {first} + 1)").alias("part")]
+        if small:
+            at = at.join(F.broadcast(anchors), "h").select(*around)
+        else:
+            at = at.select("h", *around).join(anchors, "h").select("key", "start", "part")
+        whole = f"CASE WHEN size(part) >= {size} THEN transform(sequence(1, size(part) - {size - 1}), i -> array_join(slice(part, i, {size}), ' ')) ELSE cast(array() as array<string>) END"
+        ws = at.select("key", "start", F.posexplode(F.expr(whole)).alias("i", "window"))
+        of = F.broadcast(of.select("window")) if small else of.select("window")
+        found.append(ws.join(of, "window").select("key", (F.col("start") + F.col("i")).alias("pos"), F.lit(size).alias("size"), "window"))
+    if not found:
+        return texts.sparkSession.createDataFrame([], "key string, pos int, size int, window string")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
+def hit_spans(found: DataFrame) -> DataFrame:
+    """key and spans: (pos, size) of every hit of a text, in order."""
+    return found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "size"))).alias("spans"))
 
 
 def n_hit() -> Column:
     """Words inside any span: sorted spans swept from the left."""
     return F.expr(
-        "aggregate(array_sort(spans), named_struct('hit', 0, 'end', 0), (acc, s) -> named_struct("
+        "aggregate(spans, named_struct('hit', 0, 'end', 0), (acc, s) -> named_struct("
         "'hit', acc.hit + greatest(0, s.pos + s.size - greatest(acc.end, s.pos)), 'end', greatest(acc.end, s.pos + s.size)), acc -> cast(acc.hit as bigint))"
     )
 
@@ -116,38 +106,45 @@ def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def report(docs: DataFrame, benchmark: DataFrame, n: int = 13, plan_windows: int = PLAN_WINDOWS) -> DataFrame:
+def n_words(text: Column) -> Column:
+    return F.size(words(ascii_lower(F.coalesce(text, F.lit(""))))).cast("long")
+
+
+def report(docs: DataFrame, benchmark: DataFrame, n: int = 13, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     windows = checkpoint(benchmark_windows(benchmark, n))
-    spans = hit_spans(docs.select("doc_id", "text"), windows, plan_windows=plan_windows).select(F.monotonically_increasing_id().alias("__row"), "doc_id", "n_words", n_hit().alias("n_hit"), F.expr("array_distinct(transform(spans, s -> s.window))").alias("seen"))
-    each = spans.select("__row", "doc_id", "n_words", "n_hit", F.explode_outer("seen").alias("window"))
-    known = windows.select("window", "items")
-    if windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
-    by_row = each.join(known, "window", "left").groupBy("__row", "doc_id", "n_words", "n_hit").agg(F.collect_set("items").alias("sets"))
-    items = by_row.withColumn("items", F.array_sort(F.array_distinct(F.flatten("sets"))))
-    return items.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+    found = checkpoint(hits(docs, windows, broadcast_bytes))
+    spans = hit_spans(found).select("key", n_hit().alias("n_hit"))
+    seen = found.select("key", "size", "window").distinct().join(windows, ["size", "window"]).select("key", "item").distinct()
+    items = seen.groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    of = checkpoint(spans.join(items, "key").select("key", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")))
+    rows = docs.select("doc_id", n_words(F.col("text")).alias("n_words"), _key(F.col("text")).alias("key")).join(of, "key", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return rows.select("doc_id", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256")).select("*", contaminated().alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, remove: str = "documents", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, remove: str = "documents", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` without contaminated rows (``remove="documents"``) or with the hit words cut out (``"spans"``).
 
-    All columns stay as they were; n_words, spans and n_hit of the input (if
-    it has such columns) are kept too.
+    All columns stay as they were, whatever their names.
     """
     names = docs.columns
-    spans = hit_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.col(f"`{text_col}`").alias("__text")), checkpoint(benchmark_windows(benchmark, n)), "__text")
-    # the row number keeps Catalyst from moving the filter, and with it the splitting of the text, into the lambdas
-    spans = spans.select("*", n_hit().alias("n_hit"), F.monotonically_increasing_id().alias("__row"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = checkpoint(hits(packed.select("text"), checkpoint(benchmark_windows(benchmark, n)), broadcast_bytes))
+    spans = hit_spans(found).select("key", "spans", n_hit().alias("n_hit"))
+    keyed = packed.select("__doc", "text", _key(F.col("text")).alias("key"))
     if remove == "documents":
-        return spans.filter((F.col("__row") >= 0) & ~contaminated()).select("__doc.*")
-    lead = F.regexp_extract("__text", f"^{SEPARATORS}*", 0)
-    pieces = F.expr(f"regexp_extract_all(__text, r'[^{SEPARATORS[1:]}+{SEPARATORS}*', 0)").alias("pieces")
-    hits = F.expr("array_distinct(flatten(transform(spans, s -> sequence(s.pos, s.pos + s.size - 1))))").alias("hits")
-    cut = spans.filter("__row >= 0").select("__doc", "n_hit", "__text", "__row", lead.alias("lead"), pieces, hits)
-    cut = cut.select("*", F.expr("transform(array_except(slice(sequence(0, size(pieces)), 1, size(pieces)), hits), i -> element_at(pieces, i + 1))").alias("kept_pieces"))
-    left = F.concat("lead", F.array_join("kept_pieces", ""))
-    text = F.when(F.col("n_hit") > 0, left).otherwise(F.col("__text"))
+        hit = found.select("key").distinct()
+        judged = packed.select("text", _key(F.col("text")).alias("key")).join(hit, "key", "left_semi").dropDuplicates(["key"]).select("key", n_words(F.col("text")).alias("n_words")).join(spans, "key")
+        return keyed.join(checkpoint(judged.filter(contaminated()).select("key")), "key", "left_anti").select("__doc.*")
+    rows = keyed.join(checkpoint(spans), "key", "left")
+    lead = F.regexp_extract("text", f"^{SEPARATORS}*", 0)
+    pieces = F.expr(f"regexp_extract_all(text, r'[^{SEPARATORS[1:]}+{SEPARATORS}*', 0)").alias("pieces")
+    gone = F.expr("array_distinct(flatten(transform(spans, s -> sequence(s.pos, s.pos + s.size - 1))))").alias("gone")
+    cut = rows.select("__doc", "n_hit", "text", lead.alias("lead"), pieces, gone)
+    cut = cut.select("*", F.expr("transform(array_except(slice(sequence(0, size(pieces)), 1, size(pieces)), gone), i -> element_at(pieces, i + 1))").alias("kept_pieces"))
+    text = F.when(F.col("n_hit") > 0, F.concat("lead", F.array_join("kept_pieces", ""))).otherwise(F.col("text"))
     return cut.select(*[text.alias(c) if c == text_col else F.col(f"__doc.`{c}`").alias(c) for c in names])
 
 

@@ -64,6 +64,27 @@ def test_token_counts_are_the_library(spark, docs, odd):
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_long_runs_are_the_library():
+    import random
+    import time
+
+    import sentencepiece
+
+    from panelight.llm import tokencount
+    from panelight.llm.queries import vocabulary
+
+    rnd = random.Random(4)
+    c = tokencount.PieceCounter(vocabulary("piece_bpe_32k.model"))
+    sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    texts = ["".join(rnd.choices(letters, k=n)) for letters in ("ab", "acgt", "abcdefghijklmnopqrstuvwxyz", "etaoin é漢🙂", "一二三的") for n in (tokencount.LONG - 1, tokencount.LONG + 1, 5000, 40_000)]
+    texts += ["a" * 20_000, "the" * 9000, " " * 5000 + "x"]
+    assert c.count(texts) == [len(sp.encode(t)) for t in texts]
+    word = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=1500))
+    assert c.merge_long(word) == c.merge([word])[0]
+    start = time.time()
+    assert c.count(["".join(rnd.choices("acgt", k=1_000_000))])[0] > 0 and time.time() - start < 60
+
+
 def brute_classes(items, k, percent):
     sets = {}
     for i, x in items:
@@ -203,9 +224,79 @@ def test_every_labelled_language_is_learnt(spark):
     rows = [(i, f"words of l{i % 250}", f"l{i % 250}") for i in range(260)] + [(1000 + i, "many", "en") for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     for sample in (40, 300, 6000):
-        got = labelled(docs, F.lit(True), sample)
-        assert {r["lang"] for r in got} == {r[2] for r in rows} and len(got) <= sample + 251
-        assert all(r["lang"] == "en" or r["text"] == f"words of {r['lang']}" for r in got)
+        got = labelled(docs, F.lit(True), sample, 2 * sample)
+        assert {r["lang"] for r in got} == {r[2] for r in rows} and len(got) <= 2 * sample + 251
+        assert all(r["lang"] == "en" or bytes(r["window"]).decode() == f"words of {r['lang']}" for r in got)
+    long = spark.createDataFrame([(1, "abcdefgh" * 5000, "x"), (2, "", "empty"), (3, None, "none")], "doc_id long, text string, lang string")
+    got = labelled(long, F.lit(True), 100, 50)
+    assert len(got) == 50 and all(r["lang"] == "x" and len(r["window"]) in (64, 256) for r in got)
+
+
+def test_network_is_plain_loops():
+    import math
+
+    import numpy as np
+
+    from panelight.llm.langid import WINDOW, ByteNet, predict
+
+    net = ByteNet(["aa", "bb", "cc"], seed=2)
+    net.bias = np.random.default_rng(1).normal(0, 0.2, net.bias.shape).astype(np.float32)
+
+    def loops(data):
+        scores = []
+        for f in range(net.filters.shape[1]):
+            width = net.WIDTHS[f // net.FILTERS]
+            best = -math.inf
+            for at in range(WINDOW):
+                total = 0.0
+                for k in range(width):
+                    byte = data[at + k] if at + k < len(data) and at + k < WINDOW else 0
+                    for d in range(net.DIM):
+                        total += float(net.embed[byte, d]) * float(net.filters[k * net.DIM + d, f])
+                best = max(best, total)
+            scores.append(max(0.0, best + float(net.bias[f])))
+        z = [sum(s * float(net.out[i, c]) for i, s in enumerate(scores)) + float(net.out_bias[c]) for c in range(3)]
+        e = [math.exp(v - max(z)) for v in z]
+        return [v / sum(e) for v in e]
+
+    texts = ["short text", "ä" * 150 + " and more", "1 2 3", ""]
+    names, score = predict(net, texts)
+    for t, name, got in zip(texts, names, score):
+        data = t.encode()
+        parts = [(data[i : i + WINDOW], len(data[i : i + WINDOW])) for i in range(0, len(data), WINDOW)]
+        if not any(c.isalpha() for c in t):
+            assert (name, got) == ("und", 0.0)
+            continue
+        p = [sum(loops(d)[c] * n for d, n in parts) / len(data) for c in range(3)]
+        assert name == net.languages[p.index(max(p))] and abs(got - max(p)) < 1e-4
+
+
+def test_network_gradients_are_differences():
+    import numpy as np
+
+    from panelight.llm.langid import WINDOW, ByteNet
+
+    rng = np.random.default_rng(8)
+    net = ByteNet(["aa", "bb", "cc"], seed=3)
+    for name in ("embed", "filters", "bias", "out", "out_bias"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    x = rng.integers(1, 256, size=(5, WINDOW)).astype(np.uint8)
+    x[1, 40:] = 0
+    y, weight = np.array([0, 1, 2, 1, 0]), rng.uniform(0.5, 2, 5)
+    for name, g in zip(("embed", "filters", "bias", "out", "out_bias"), net.gradients(x, y, weight)):
+        p = getattr(net, name)
+        for at in rng.permutation(p.size)[:60]:
+            i = np.unravel_index(at, p.shape)
+            if name == "embed" and i[0] == 0 or name == "filters" and not net.mask[i]:
+                assert g[i] == 0
+                continue
+            old, step = p[i], 1e-6
+            p[i] = old + step
+            up = net.loss(x, y, weight)
+            p[i] = old - step
+            down = net.loss(x, y, weight)
+            p[i] = old
+            assert abs((up - down) / (2 * step) - g[i]) < 1e-4
 
 
 def test_quality_held_out(spark, sf, docs, odd):
@@ -278,6 +369,16 @@ def test_url_flow_of_a_host_with_more_links_than_score(spark):
     assert rows[1]["distrust"] == seed * 15 // 100
 
 
+def test_seeds_of_both_sides_weigh_alike(spark):
+    from panelight.llm.urlfilter import judge
+
+    for others in ("good", "bad"):
+        rules = [("x.com", "/fr/", "allow"), ("x.com", "/de/", "block"), ("good.net", "/", "allow"), ("bad.net", "/", "block")]
+        pages = [(1, "http://x.com/fr/1", ""), (2, "http://x.com/de/1", ""), (3, "http://x.com/", "")] + [(9 + i, f"http://h{i}.{others}.net/", "") for i in range(3)]
+        got = {r["page_id"]: r for r in rows_of(judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules))}
+        assert got[3]["verdict"] == "allow" and got[3]["trust"] == got[3]["distrust"]  # a tie, whatever other hosts there are
+
+
 def test_licences(spark, odd):
     from panelight.llm.licences import TEXTS, known_licences, scan
 
@@ -313,34 +414,65 @@ def test_whole_licences_and_ids(spark):
     assert [got[i] for i in range(len(texts))] == [k for k, _ in texts]
 
 
-@pytest.mark.parametrize("plan_windows", [0, 50_000])
-def test_decontamination_edges(spark, odd, plan_windows):
+@pytest.mark.parametrize("broadcast_bytes", [0, 64 << 20])
+def test_decontamination_edges(spark, odd, broadcast_bytes):
     from panelight.llm.decontam import decontaminate, report
 
     passage = " ".join(f"p{i}" for i in range(20))
     bench = spark.createDataFrame([(1, passage), (2, "Tiny Item"), (3, None), (4, ""), (5, passage)], "item_id long, text string")
     more = spark.createDataFrame([(100, "x y " + passage.upper() + " z", None, None, None, None, None), (101, "a tiny, item!", None, None, None, None, None), (102, " ".join(f"p{i}" for i in range(12)), None, None, None, None, None)], SCHEMA)
     df = odd.unionByName(more)
-    got = {r["doc_id"]: r for r in rows_of(report(df, bench, plan_windows=plan_windows))}
+    got = {r["doc_id"]: r for r in rows_of(report(df, bench, broadcast_bytes=broadcast_bytes))}
     assert got[100]["n_hit"] == 20 and got[100]["n_items"] == 2 and got[100]["contaminated"]
     assert got[101]["n_hit"] == 2 and got[102]["n_hit"] == 0 and got[0]["n_words"] == 0
-    left = {r["doc_id"] for r in decontaminate(df, bench).collect()}
+    left = {r["doc_id"] for r in decontaminate(df, bench, broadcast_bytes=broadcast_bytes).collect()}
     assert 100 not in left and 102 in left
     cut = {r["doc_id"]: r["text"] for r in decontaminate(df, bench, remove="spans").collect()}
     assert cut[100] == "x y z" and cut[0] is None
     assert report(df.limit(0), bench.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("plan_windows", [0, 50_000])
-def test_decontamination_of_greek_capitals(spark, plan_windows):
+@pytest.mark.parametrize("broadcast_bytes", [0, 64 << 20])
+def test_decontamination_of_greek_capitals(spark, broadcast_bytes):
     from panelight.llm.decontam import report
 
     bench = spark.createDataFrame([(1, "ΕΛΛΑΣ.ΤΟ")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "ΕΛΛΑΣ.ΤΟ y"), (2, "ΕΛΛΑΣ ΤΟ"), (3, "ελλας το")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_hit"], r["contaminated"]) for r in rows_of(report(docs, bench, plan_windows=plan_windows))}
+    got = {r["doc_id"]: (r["n_hit"], r["contaminated"]) for r in rows_of(report(docs, bench, broadcast_bytes=broadcast_bytes))}
     assert got == {1: (2, True), 2: (2, True), 3: (0, False)}
 
 
+@pytest.mark.parametrize("broadcast_bytes", [0, 64 << 20])
+def test_decontamination_is_brute_force(spark, broadcast_bytes):
+    """Items of every length up to 40 words in a small vocabulary, so that windows overlap, repeat and begin anywhere."""
+    import random
+
+    from panelight.llm.decontam import report
+
+    rnd = random.Random(9)
+
+    def some(n):
+        return " ".join(rnd.choices("abcd", k=n))
+
+    items = [(i, some(n)) for i, n in enumerate([0, 1, 2, 3, 5, 8, 12, 13, 14, 20, 40])][2:]
+    docs = [(i, some(rnd.randrange(60))) for i in range(60)] + [(100 + i, some(i) + " x " + x + " " + some(i)) for i, x in items] + [(7, items[-1][1]), (7, items[-1][1])]
+
+    def brute(text):
+        w, hit, seen = text.split(), set(), set()
+        for i, x in items:
+            v = x.split()
+            size = min(13, len(v))
+            grams = {tuple(v[j : j + size]) for j in range(len(v) - size + 1)} if v else set()
+            for j in range(len(w) - size + 1):
+                if tuple(w[j : j + size]) in grams:
+                    hit.update(range(j, j + size))
+                    seen.add(str(i))
+        return len(w), len(hit), len(seen), sha(",".join(sorted(seen))), len(hit) > 0 and 20 * len(hit) >= len(w)
+
+    got = rows_of(report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=broadcast_bytes))
+    assert sorted(map(tuple, got)) == sorted((i, *brute(x)) for i, x in docs)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as C
     from panelight.llm import bpe, decontam
