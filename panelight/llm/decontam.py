@@ -9,7 +9,7 @@ when their measured bytes are below ``BROADCAST_BYTES``; above it the same
 look-ups are shuffle joins, before which each anchor takes the words around it
 along instead of the whole text.  Rows and results are the same either way.
 
-Hits depend on the text alone, so they are kept by its SHA-256: equal texts
+Hits depend on the text alone, so they are kept by a 128-bit hash of it: equal texts
 are looked up as one and no row needs a number of its own.
 
 Words: runs of digits, a-z and all characters beyond ASCII, after lower-casing
@@ -49,12 +49,17 @@ def _anchor(size: int) -> tuple[int, int]:
     return a, size - a + 1
 
 
-def _key(col: Column) -> Column:
-    return F.sha2(F.coalesce(col, F.lit("")), 256)
+#: The columns that stand for a text: two hashes of it.
+KEY = ["key_a", "key_b"]
+
+
+def _key(text: Column) -> list[Column]:
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t).alias("key_a"), F.xxhash64(F.lit(7), t).alias("key_b")]
 
 
 def hits(texts: DataFrame, windows: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """key (SHA-256 of the text), pos (from 0), size, window: every benchmark window in the texts (column text).
+    """key_a, key_b, n_words (of the text), pos (from 0), size, window: every benchmark window in the texts (column text).
 
     ``windows`` should be a written table; it is read several times.
     """
@@ -72,17 +77,17 @@ def hits(texts: DataFrame, windows: DataFrame, broadcast_bytes: int = BROADCAST_
         looked_up = f"CASE WHEN size(w) >= {size} THEN transform(sequence(1, size(w) - {a - 1}, {stride}), i -> xxhash64(slice(w, i, {a}))) ELSE cast(array() as array<bigint>) END"
         at = every.select("text", "w", F.posexplode(F.expr(looked_up)).alias("j", "h"))
         first = f"greatest(j * {stride} + 2 - {stride}, 1)"
-        around = [_key(F.col("text")).alias("key"), F.expr(f"{first} - 1").alias("start"), F.expr(f"slice(w, {first}, j * {stride} + {size} - {first} + 1)").alias("part")]
+        around = [*_key(F.col("text")), F.size("w").cast("long").alias("n_words"), F.expr(f"{first} - 1").alias("start"), F.expr(f"slice(w, {first}, j * {stride} + {size} - {first} + 1)").alias("part")]
         if small:
             at = at.join(F.broadcast(anchors), "h").select(*around)
         else:
-            at = at.select("h", *around).join(anchors, "h").select("key", "start", "part")
+            at = at.select("h", *around).join(anchors, "h").drop("h")
         whole = f"CASE WHEN size(part) >= {size} THEN transform(sequence(1, size(part) - {size - 1}), i -> array_join(slice(part, i, {size}), ' ')) ELSE cast(array() as array<string>) END"
-        ws = at.select("key", "start", F.posexplode(F.expr(whole)).alias("i", "window"))
+        ws = at.select(*KEY, "n_words", "start", F.posexplode(F.expr(whole)).alias("i", "window"))
         of = F.broadcast(of.select("window")) if small else of.select("window")
-        found.append(ws.join(of, "window").select("key", (F.col("start") + F.col("i")).alias("pos"), F.lit(size).alias("size"), "window"))
+        found.append(ws.join(of, "window").select(*KEY, "n_words", (F.col("start") + F.col("i")).alias("pos"), F.lit(size).alias("size"), "window"))
     if not found:
-        return texts.sparkSession.createDataFrame([], "key string, pos int, size int, window string")
+        return texts.sparkSession.createDataFrame([], "key_a long, key_b long, n_words long, pos int, size int, window string")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -90,8 +95,8 @@ def hits(texts: DataFrame, windows: DataFrame, broadcast_bytes: int = BROADCAST_
 
 
 def hit_spans(found: DataFrame) -> DataFrame:
-    """key and spans: (pos, size) of every hit of a text, in order."""
-    return found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "size"))).alias("spans"))
+    """key_a, key_b, n_words and spans: (pos, size) of every hit of a text, in order."""
+    return found.groupBy(*KEY, "n_words").agg(F.sort_array(F.collect_list(F.struct("pos", "size"))).alias("spans"))
 
 
 def n_hit() -> Column:
@@ -115,11 +120,11 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 13, broadcast_bytes:
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     windows = checkpoint(benchmark_windows(benchmark, n))
     found = checkpoint(hits(docs, windows, broadcast_bytes))
-    spans = hit_spans(found).select("key", n_hit().alias("n_hit"))
-    seen = found.select("key", "size", "window").distinct().join(windows, ["size", "window"]).select("key", "item").distinct()
-    items = seen.groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    of = checkpoint(spans.join(items, "key").select("key", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")))
-    rows = docs.select("doc_id", n_words(F.col("text")).alias("n_words"), _key(F.col("text")).alias("key")).join(of, "key", "left")
+    spans = hit_spans(found).select(*KEY, n_hit().alias("n_hit"))
+    seen = found.select(*KEY, "size", "window").distinct().join(windows, ["size", "window"]).select(*KEY, "item").distinct()
+    items = seen.groupBy(*KEY).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    of = checkpoint(spans.join(items, KEY).select(*KEY, "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")))
+    rows = docs.select("doc_id", n_words(F.col("text")).alias("n_words"), *_key(F.col("text"))).join(of, KEY, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return rows.select("doc_id", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256")).select("*", contaminated().alias("contaminated"))
 
@@ -132,13 +137,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, remove: st
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     found = checkpoint(hits(packed.select("text"), checkpoint(benchmark_windows(benchmark, n)), broadcast_bytes))
-    spans = hit_spans(found).select("key", "spans", n_hit().alias("n_hit"))
-    keyed = packed.select("__doc", "text", _key(F.col("text")).alias("key"))
+    spans = hit_spans(found).select(*KEY, "n_words", "spans", n_hit().alias("n_hit"))
+    keyed = packed.select("__doc", "text", *_key(F.col("text")))
     if remove == "documents":
-        hit = found.select("key").distinct()
-        judged = packed.select("text", _key(F.col("text")).alias("key")).join(hit, "key", "left_semi").dropDuplicates(["key"]).select("key", n_words(F.col("text")).alias("n_words")).join(spans, "key")
-        return keyed.join(checkpoint(judged.filter(contaminated()).select("key")), "key", "left_anti").select("__doc.*")
-    rows = keyed.join(checkpoint(spans), "key", "left")
+        return keyed.join(checkpoint(spans.filter(contaminated()).select(*KEY)), KEY, "left_anti").select("__doc.*")
+    rows = keyed.join(checkpoint(spans.drop("n_words")), KEY, "left")
     lead = F.regexp_extract("text", f"^{SEPARATORS}*", 0)
     pieces = F.expr(f"regexp_extract_all(text, r'[^{SEPARATORS[1:]}+{SEPARATORS}*', 0)").alias("pieces")
     gone = F.expr("array_distinct(flatten(transform(spans, s -> sequence(s.pos, s.pos + s.size - 1))))").alias("gone")
