@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from panelight.llm.common import map_texts
 
 #: Entries of one generation of a worker's table of encoded words (some 200 bytes each).
-TABLE = 100_000
+TABLE = 200_000
 #: Words of more symbols than this are merged with a heap.
 SHORT = 64
 NONE = 1 << 60
@@ -53,7 +53,7 @@ def byte_letters() -> list[str]:
 class _Ranks(dict):
     """Ranks of pairs; a pair without one is kept as such when it is met, up to ``KEPT`` of them."""
 
-    KEPT = 200_000
+    KEPT = 300_000
 
     def __missing__(self, pair):
         if len(self) < self.KEPT:

@@ -28,9 +28,10 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch so that the texts of each part have about ``limit`` bytes."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+def slices(batch: pa.RecordBatch | pa.Array, column: str | None = None, limit: int = BATCH_BYTES) -> Iterator:
+    """Cuts a batch (or an array of texts) so that the texts of each part have about ``limit`` bytes."""
+    texts = batch if column is None else batch.column(column)
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(size):
         base = size[start - 1] if start else 0
@@ -43,26 +44,29 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: list[T.Stru
     """``keep`` columns of ``df`` and the columns that a Python function computes from its texts.
 
     ``make()`` is called once a task and gives the function: a list of texts
-    (null is "") to one sequence for each of ``fields``.  A kept column whose
-    name equals a computed one (names compare without case) gives way to it.
+    (null is "") to one sequence for each of ``fields``.  Only the texts go to Python and
+    only the computed columns come back.  A kept column whose name equals a
+    computed one (names compare without case) gives way to it.
     """
     new = {f.name.lower() for f in fields}
-    keep = [c for c in keep if c.lower() not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text__"))
-    schema = T.StructType([f for f in source.schema.fields if f.name != "__text__"] + fields)
+    kept = [F.col(f"`{c}`") for c in keep if c.lower() not in new]
+    schema = T.StructType(fields)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(schema)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target, f = to_arrow_schema(schema), make()
         for batch in batches:
-            for part in slices(batch, "__text__"):
-                out = f(part.column("__text__").to_pylist())
-                kept = [part.column(i) for i, n in enumerate(part.schema.names) if n != "__text__"]
-                made = [x if isinstance(x, pa.Array) else pa.array(x, type=target.field(len(keep) + i).type) for i, x in enumerate(out)]
-                yield pa.RecordBatch.from_arrays([x if x.type == t.type else x.cast(t.type) for x, t in zip([*kept, *made], target, strict=True)], schema=target)
-
-    return source.mapInArrow(run, schema)
+            for part in slices(batch):
+                made = [x if isinstance(x, pa.Array) else pa.array(x, type=t.type) for x, t in zip(f(part.to_pylist()), target, strict=True)]
+                yield pa.StructArray.from_arrays([x if x.type == t.type else x.cast(t.type) for x, t in zip(made, target)], fields=list(target))
+            if not len(batch):
+                yield pa.StructArray.from_arrays([pa.array([], type=t.type) for t in target], fields=list(target))
+
+    # not repeated or moved by the optimiser: each text is computed once
+    made = run.asNondeterministic()(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    return df.select(*kept, made.alias("__made")).select(*kept, "__made.*")
 
 
 def shared_folder(spark: SparkSession) -> str:

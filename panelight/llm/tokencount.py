@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from panelight.llm.common import map_texts
 
 #: Entries of one generation of a worker's table of counted pre-tokens.
-TABLE = 100_000
+TABLE = 200_000
 #: Symbols of a pre-token that is merged with a heap.
 LONG = 1024
 #: Symbols merged in one go.
