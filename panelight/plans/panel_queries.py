@@ -113,7 +113,7 @@ query("min_max_scaled", lambda s, d: stats.min_max_scaled(metrics(s, d), "x").se
 query("high_low_tails", lambda s, d: selection.tails(metrics(s, d), "y").select("audit_bucket", "ticker", "year", "y"), "SELECT * FROM (SELECT 'high_alignment' AS audit_bucket, ticker, year, y FROM metrics WHERE y IS NOT NULL ORDER BY y DESC, ticker, year LIMIT 10) UNION ALL SELECT * FROM (SELECT 'low_alignment', ticker, year, y FROM metrics WHERE y IS NOT NULL ORDER BY y, ticker, year LIMIT 10)", *_M)
 _B = [("low_oai_low_ss", "x <= x1 AND y <= y1", "x, y"), ("low_oai_high_ss", "x <= x1 AND y >= y3", "y DESC, x"), ("high_oai_low_ss", "x >= x3 AND y <= y1", "x DESC, y"), ("high_oai_high_ss", "x >= x3 AND y >= y3", "x DESC, y DESC")]
 query("quartile_buckets", lambda s, d: selection.quartile_buckets(metrics(s, d), "x", "y").select("audit_bucket", "ticker"), " UNION ALL ".join(f"SELECT * FROM (SELECT '{n}' AS audit_bucket, ticker FROM metrics, (SELECT quantile_cont(x, 0.25) AS x1, quantile_cont(x, 0.75) AS x3, quantile_cont(y, 0.25) AS y1, quantile_cont(y, 0.75) AS y3 FROM metrics WHERE y IS NOT NULL) q WHERE {c} ORDER BY {o}, ticker, year LIMIT 5)" for n, c, o in _B), *_M)
-query("rescaled_gap", lambda s, d: metrics(s, d).select("ticker", alignment.rescaled(F.col("x") / 100).alias("scaled"), alignment.rescaled(F.col("x") / 100, clip=True).alias("clipped"), F.round(F.col("y") - alignment.rescaled(F.col("x") / 100), 4).alias("gap")), "SELECT ticker, round((x / 100 + 100) / 2, 6) AS scaled, round(least(greatest((x / 100 + 100) / 2, 0), 100), 6) AS clipped, round(y - round((x / 100 + 100) / 2, 6), 4) AS gap FROM metrics", *_M)
+query("rescaled_gap", lambda s, d: metrics(s, d).select("ticker", alignment.rescaled(F.col("x") / 100).alias("scaled"), alignment.rescaled(F.col("x") / 100, clip=True).alias("clipped"), F.round(F.col("y") - alignment.rescaled(F.col("x") / 100), 6).alias("gap")), "SELECT ticker, round((x / 100 + 100) / 2, 6) AS scaled, round(least(greatest((x / 100 + 100) / 2, 0), 100), 6) AS clipped, round(y - round((x / 100 + 100) / 2, 6), 6) AS gap FROM metrics", *_M)
 query("fixed_effects_regression", lambda s, d: stats.regression(metrics(s, d).withColumn("log_orders", F.log1p("n_orders")), "y", ["x", "log_orders"], ["sector", "year"]))
 # one regressor, which SQL knows
 query("simple_regression", lambda s, d: stats.regression(metrics(s, d), "y", ["x"], []), "SELECT 'intercept' AS term, round(regr_intercept(y, x), 6) AS coefficient, count(y) AS company_years, round(regr_r2(y, x), 6) AS r_squared FROM metrics WHERE y IS NOT NULL UNION ALL SELECT 'x', round(regr_slope(y, x), 6), count(y), round(regr_r2(y, x), 6) FROM metrics WHERE y IS NOT NULL", *_M)

@@ -62,8 +62,10 @@ _LING = (
 _FIELDS = [f"{k}_rate_per_100_words" for k in CORPUS_LEXICONS] + ["average_sentence_length", "quantified_claim_count"]
 _ling = lambda s, d: themes.linguistics(observations(s, d), ["doc_id", "year", "sector"], CORPUS_LEXICONS)
 query("linguistic_metrics", lambda s, d: _ling(s, d).drop("year", "sector"), "SELECT doc_id, n AS word_count, s AS sentence_count, average_sentence_length, q AS quantified_claim_count, " + ", ".join(f"{k}_count, {k}_rate_per_100_words" for k in CORPUS_LEXICONS) + " FROM ling", OBS, _LING)
+# means of values of four digits have ties at the sixth, which engines round apart
+_three = lambda df: df.withColumns({c: F.round(c, 3) for c in df.columns if c.startswith("mean_")})
 for _by in ("year", "sector"):
-    query(f"linguistic_by_{_by}", lambda s, d, by=_by: A.linguistic_summary(_ling(s, d), [by], _FIELDS), f"SELECT {_by}, count(*) AS company_years, round(avg(n), 6) AS mean_word_count, round(median(n), 6) AS median_word_count, " + ", ".join("round(avg({}), 6) AS mean_{}".format("q" if f == "quantified_claim_count" else f, f) for f in _FIELDS) + f" FROM ling GROUP BY {_by}", OBS, _LING)
+    query(f"linguistic_by_{_by}", lambda s, d, by=_by: _three(A.linguistic_summary(_ling(s, d), [by], _FIELDS)), f"SELECT {_by}, count(*) AS company_years, round(round(avg(n), 6), 3) AS mean_word_count, round(median(n), 6) AS median_word_count, " + ", ".join("round(round(avg({}), 6), 3) AS mean_{}".format("q" if f == "quantified_claim_count" else f, f) for f in _FIELDS) + f" FROM ling GROUP BY {_by}", OBS, _LING)
 query("word_count_range", lambda s, d: _ling(s, d).agg(F.count("*").alias("n"), F.min("word_count").alias("least"), F.median("word_count").alias("median"), F.max("word_count").alias("greatest")), "SELECT count(*) AS n, min(n) AS least, median(n) AS median, max(n) AS greatest FROM ling", OBS, _LING)
 
 _pattern = lambda p: r"(?i)\b" + p.replace(" ", r"\s+") + r"\b"
