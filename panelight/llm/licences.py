@@ -9,7 +9,8 @@ looked up as well, in the digests of known notices.
 The known texts are a small table (their number is checked before it is
 broadcast; beyond ``BROADCAST_ROWS`` it is a shuffle join).  Null and empty
 texts, and those of copyright lines and punctuation only, have an empty form and no licence.
-Repeated rows are each reported.
+Repeated rows are each reported.  Of licences with one digest (a tie) the first in string order is named.
+A text of any length is put into its form in one task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from panelight.llm.licence_digests import DIGESTS
 
 #: Known rows that may be broadcast (some 100 bytes each).
 BROADCAST_ROWS = 100_000
-#: Known notices that may go with the plan as a map.
+#: Known notices, which go with the plan; a longer list is an error.
 PLAN_ROWS = 2_000
 COPYRIGHT = r"(?im)^[^\n\w]*(?:copyright|\(c\)|©)[^\n]*$|^[^\n\w]*all rights reserved[^\n\w]*$"
 #: Equivalent spellings: pattern on the lower-case, blank-separated form -> one spelling.
@@ -102,20 +103,21 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     bounded = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     small = F.broadcast if bounded else (lambda d: d)
     longest = known.filter("kind = 'line'").agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
-    notices = known.filter("kind = 'line'").select("digest", "licence")
-    listed = notices.limit(PLAN_ROWS + 1).collect()
+    listed = known.filter("kind = 'line'").select("digest", "licence").limit(PLAN_ROWS + 1).collect()
+    if len(listed) > PLAN_ROWS:
+        raise ValueError(f"more than {PLAN_ROWS} known notices")
     rows = docs.select(F.col("doc_id"), canonical(F.col("text").cast("string")).alias("form"))
     lines = F.expr(f"transform(filter(split(form, '\\n'), l -> length(l) BETWEEN 1 AND {int(longest)}), l -> sha2(trim(l), 256))")
-    rows = rows.select(F.monotonically_increasing_id().alias("__row"), "doc_id", digest(F.col("form")).alias("text_sha256"), (F.col("form") == "").alias("blank"), lines.alias("lines"))
+    rows = rows.select("doc_id", digest(F.col("form")).alias("text_sha256"), (F.col("form") == "").alias("blank"), lines.alias("lines"))
     whole = known.groupBy("digest").agg(F.min("licence").alias("licence")).withColumnRenamed("digest", "text_sha256")
-    if len(listed) <= PLAN_ROWS:
-        # a small table of notices goes with the plan as a map: no row of a document is multiplied
-        table = {r["digest"]: r["licence"] for r in listed}
-        pairs = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]) if table else F.expr("cast(map() as map<string, string>)")
-        rows = rows.withColumn("__map", pairs).withColumn("found", F.expr("filter(transform(lines, l -> try_element_at(__map, l)), x -> x IS NOT NULL)")).drop("__map", "lines")
+    # the small table of notices goes with the plan: a hash set first, the licence for the few lines that are in it; no row is multiplied
+    table = sorted((r["digest"], r["licence"]) for r in listed)
+    if table:
+        pairs = F.create_map(*[F.lit(x) for kv in table for x in kv])
+        found = F.transform(F.filter("lines", lambda l: l.isin(*[d for d, _ in table])), lambda l: F.element_at(pairs, l))
     else:
-        found = rows.select("__row", F.explode("lines").alias("digest")).join(small(notices), "digest").groupBy("__row").agg(F.collect_list("licence").alias("found"))
-        rows = rows.drop("lines").join(found, "__row", "left").withColumn("found", F.coalesce("found", F.expr("cast(array() as array<string>)")))
+        found = F.array().cast("array<string>")
+    rows = rows.withColumn("found", found).drop("lines")
     rows = rows.join(small(whole), "text_sha256", "left")
     return rows.select("doc_id", "text_sha256", F.when(~F.col("blank"), F.col("licence")).alias("licence"), F.size("found").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"))
 
