@@ -4,11 +4,13 @@ Each line of a text is good or bad.  Its features are counts of its own and
 those of the lines next to it; neighbouring labels are tied by transition
 weights.  A document's score is the mean of the lines' marginals (forward-
 backward), weighted by line length.  Lines are trained with the label of their
-document, on a bounded sample of ``SAMPLE`` labelled documents.
+document, on a bounded sample: ``SAMPLE`` labelled documents and of each at most
+``SAMPLE_LINES`` consecutive lines, from a place of its own in the whole text.
 
 Null and empty texts are one empty line.  With nothing to learn from, every
 score is 0.5.  A document with several labels is learnt with each of them.  Repeated
-rows get equal results.
+rows get equal results; an empty table gives no rows.  A text of any length is scored whole, in one
+task.  Of samples with equal hashes the least id counts first.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from panelight.llm.common import bounded_sample, crc_mod, map_texts
 
 #: Labelled documents that the field is fitted on.
 SAMPLE = 4_000
+#: Consecutive lines of such a document.
+SAMPLE_LINES = 256
 THRESHOLD = 0.3
 
 #: Classes of bytes that are counted in a line.
@@ -141,15 +145,16 @@ def train(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE) -> Fi
     some = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__y")).filter("__y IN (0, 1) AND __id IS NOT NULL")
     rows = docs.select("doc_id", "text").filter(learn)
     picked = bounded_sample(some.filter(crc_mod(F.col("__id"), 5) != 0), "__id", sample)
-    if not (n := picked.count()) or n > sample:
-        return None
     data = rows.join(F.broadcast(picked), rows["doc_id"] == picked["__id"]).select("__y", "text")
 
     def make():
+        import xxhash
+
         def f(texts: list[str]) -> list:
             x, _, counts = line_features(texts)
             cut = np.cumsum(counts) - counts
-            return [[part.tobytes() for part in np.split(x[:, :OWN].astype(np.float16), cut[1:])]]
+            start = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) % max(1, n - SAMPLE_LINES + 1) for t, n in zip(texts, counts.tolist())]
+            return [[x[c + s : c + min(s + SAMPLE_LINES, n)].astype(np.float16).tobytes() for c, s, n in zip(cut.tolist(), start, counts.tolist())]]
 
         return f
 
@@ -157,16 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE) -> Fi
     if len({r["__y"] for r in made}) < 2:
         return None
     made.sort(key=lambda r: (r["__y"], bytes(r["f"])))  # the same order on every run
-    own = [np.frombuffer(r["f"], np.float16).reshape(-1, OWN).astype(np.float32) for r in made]
-    counts = np.array([len(o) for o in own])
-    x = np.concatenate(own)
-    first, last = np.zeros(len(x), bool), np.zeros(len(x), bool)
-    edge = np.cumsum(counts)
-    first[edge - counts], last[edge - 1] = True, True
-    before, after = np.roll(x, 1, axis=0), np.roll(x, -1, axis=0)
-    before[first], after[last] = 0, 0
+    parts = [np.frombuffer(r["f"], np.float16).reshape(-1, WIDTH).astype(np.float32) for r in made]
     field = Field()
-    field.fit(np.concatenate([x, before, after, first[:, None], last[:, None], np.ones((len(x), 1))], axis=1, dtype=np.float32), counts, np.array([r["__y"] for r in made]))
+    field.fit(np.concatenate(parts), np.array([len(p) for p in parts]), np.array([r["__y"] for r in made]))
     return field
 
 
