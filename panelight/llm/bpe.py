@@ -1,8 +1,8 @@
 """Byte-pair encoding and decoding with a contiguous rank array.
 
-A word is held as a list of part boundaries and a parallel list with the rank
-of each adjacent pair.  The lowest rank is searched, its inner boundary is
-deleted and the two neighbouring ranks are refreshed, until no pair has a
+A word is held as a list of its parts (the symbol between two boundaries) and a parallel list with the rank
+of each adjacent pair.  The lowest rank is searched, leftmost first, the boundary inside it is
+deleted (two parts become one) and the two neighbouring ranks are refreshed, until no pair has a
 rank.  Words recur, so encoded words are kept in a bounded table.  Words over
 ``SHORT`` symbols use a heap over the same ranks, which gives the same parts
 without the quadratic scan.
@@ -107,7 +107,7 @@ class Bpe:
             self.merged.append(vocab[a + b])
         self.single = [vocab.get(c) for c in letters]
         self.last = [vocab.get(c + self.end) for c in letters]
-        self.lowered = bool(spec.get("normalizer"))
+        self.lowered = self._lowers(spec.get("normalizer"))
         self.word_pattern = regex.compile(WORD_END_PATTERN if self.end else BYTE_PATTERN)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]} if specials else {}
         self.special = special
@@ -116,6 +116,18 @@ class Bpe:
         self.bytes_of = {c: b for b, c in enumerate(letters)}
         self.byte_strings: list[bytes] | None = None
 
+    @staticmethod
+    def _lowers(normalizer: dict | None) -> bool:
+        """Whether texts are put into NFC and lower case; any other normaliser is an error."""
+        if normalizer is None:
+            return False
+        steps = normalizer.get("normalizers", [normalizer])
+        kinds = [s["type"] for s in steps]
+        blanks = [s for s in steps if s["type"] == "Replace"]  # white space is no part of a word
+        if [k for k in kinds if k != "Replace"] != ["NFC", "Lowercase"] or any(s["content"] != " " for s in blanks):
+            raise ValueError(f"normaliser that isn't known: {kinds}")
+        return True
+
     def normalised(self, text: str) -> str:
         if not self.lowered:
             return text

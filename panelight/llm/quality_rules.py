@@ -6,7 +6,9 @@ a high ratio is repetitive text, a low one is noise.  The whole text and each
 fixed chunk of it are compressed, so a repetitive or noisy part of a text shows.
 
 Null and empty texts have no words, every count is 0, ratios are 0.0 and the
-base rules fail.  Each row is judged alone: repeated rows get equal results.
+base rules fail.  Each row is judged alone: repeated rows get equal results, and an
+empty table gives none.  A text of any length is compressed whole, in one task.  A ratio equal
+to a limit (a tie) is inside the band.
 """
 
 from __future__ import annotations
