@@ -24,30 +24,31 @@ def _with(docs: DataFrame, judged) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as good stay."""
+    """Documents that the quality classifier predicts as good stay; a null text is judged as an empty one, and all stay where nothing can be learnt (score 0.5)."""
     field = quality_crf.train(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
     return _with(docs, lambda d: quality_crf.score(d, field, "__text", ["__doc"]).filter("predicted = 1"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language stay; texts without a letter go."""
+    """Documents with a recognised language stay; texts without a letter go, also where nothing can be learnt."""
     net = langid.train(docs, crc_mod(F.col("doc_id"), 4) != 2)
-    keep = (F.col("lang_pred") != langid.UNKNOWN) if net is not None else F.lit(True)
-    return _with(docs, lambda d: langid.identify(d, net, "__text", ["__doc"]).filter(keep))
+    if net is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return _with(docs, lambda d: langid.identify(d, net, "__text", ["__doc"]).filter(F.col("lang_pred") != langid.UNKNOWN))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8) stays."""
+    """One document of each group of near-duplicates (five words, 0.8) stays: the least id, of repeated rows one; texts without words and rows without an id all stay."""
     return neardup.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of the benchmark go."""
+    """Documents that hold passages of the benchmark go; null and empty texts stay."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and decoded text of what is left."""
+    """doc_id, ids and decoded text of what is left; a null text has no ids and decodes to ""."""
     return bpe.encode_decode(docs, vocabulary("word_bpe_49k.json"))
 
 
@@ -56,12 +57,21 @@ STAGES: list = [("quality", quality), ("language", language), ("near_dedup", nea
 ORACLE_SQL: str | None = None
 
 
+#: Text bytes that go to a Python worker at once while the stages run.
+BATCH_CONF, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages; each one's rows are written as Parquet in the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        at = f"{folder}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, BATCH)
+    try:
+        for i, (name, stage) in enumerate(STAGES):
+            at = f"{folder}/{i}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(at)
+            docs = spark.read.parquet(at)
+    finally:
+        spark.conf.set(BATCH_CONF, before)
     return docs
