@@ -65,33 +65,29 @@ def hits(texts: DataFrame, windows: DataFrame, broadcast_bytes: int = BROADCAST_
     """
     distinct = windows.select("size", "window").distinct()
     sizes = sorted(r["size"] for r in distinct.select("size").distinct().collect())  # at most n of them
+    if not sizes:
+        return texts.sparkSession.createDataFrame([], "key_a long, key_b long, n_words long, pos int, size int, window string")
     known = distinct.agg(F.coalesce(F.sum(F.octet_length("window") + 64), F.lit(0))).first()[0]
     small = known <= broadcast_bytes
-    found = []
+    near = F.broadcast if small else (lambda d: d)
+    a, stride = "((size + 1) div 2)", "(size - (size + 1) div 2 + 1)"
+    anchors = distinct.select("size", F.explode(F.expr(f"transform(sequence(1, size - cast({a} AS int) + 1), i -> xxhash64(size, slice(split(window, ' '), i, cast({a} AS int))))")).alias("h")).select("h").distinct()
     every = texts.select("text", words(ascii_lower(F.coalesce(F.col("text"), F.lit("")))).alias("w"))
+    # all anchors of a text in one array: the size, which of its anchors it is, and the hash
+    parts = []
     for size in sizes:
-        a, stride = _anchor(size)
-        of = distinct.filter(F.col("size") == size)
-        anchors = of.select(F.explode(F.expr(f"transform(sequence(1, {size - a + 1}), i -> xxhash64(slice(split(window, ' '), i, {a})))")).alias("h")).distinct()
-        # posexplode counts the anchors; the one at ``j`` begins at word j * stride + 1 and lies in the windows that begin up to stride - 1 words before
-        looked_up = f"CASE WHEN size(w) >= {size} THEN transform(sequence(1, size(w) - {a - 1}, {stride}), i -> xxhash64(slice(w, i, {a}))) ELSE cast(array() as array<bigint>) END"
-        at = every.select("text", "w", F.posexplode(F.expr(looked_up)).alias("j", "h"))
-        first = f"greatest(j * {stride} + 2 - {stride}, 1)"
-        around = [*_key(F.col("text")), F.size("w").cast("long").alias("n_words"), F.expr(f"{first} - 1").alias("start"), F.expr(f"slice(w, {first}, j * {stride} + {size} - {first} + 1)").alias("part")]
-        if small:
-            at = at.join(F.broadcast(anchors), "h").select(*around)
-        else:
-            at = at.select("h", *around).join(anchors, "h").drop("h")
-        whole = f"CASE WHEN size(part) >= {size} THEN transform(sequence(1, size(part) - {size - 1}), i -> array_join(slice(part, i, {size}), ' ')) ELSE cast(array() as array<string>) END"
-        ws = at.select(*KEY, "n_words", "start", F.posexplode(F.expr(whole)).alias("i", "window"))
-        of = F.broadcast(of.select("window")) if small else of.select("window")
-        found.append(ws.join(of, "window").select(*KEY, "n_words", (F.col("start") + F.col("i")).alias("pos"), F.lit(size).alias("size"), "window"))
-    if not found:
-        return texts.sparkSession.createDataFrame([], "key_a long, key_b long, n_words long, pos int, size int, window string")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+        n, step = _anchor(size)
+        parts.append(f"CASE WHEN size(w) >= {size} THEN transform(sequence(1, size(w) - {n - 1}, {step}), (i, j) -> named_struct('size', {size}, 'j', j, 'h', xxhash64({size}, slice(w, i, {n})))) ELSE cast(array() as array<struct<size: int, j: int, h: bigint>>) END")
+    # made before the rows are multiplied, so that the explode copies nothing but the anchors that are found; outer, as the optimiser
+    # else adds filters on the arrays, for which it would split the text again in every step of a lambda
+    at = every.select("text", "w", F.expr(f"concat({', '.join(parts)})").alias("anchors")).select("text", "w", F.explode_outer("anchors").alias("p")).select("text", "w", "p.size", "p.j", "p.h")
+    # anchor j begins at word j * stride + 1 and lies in the windows that begin up to stride - 1 words before
+    first = f"cast(greatest(j * {stride} + 2 - {stride}, 1) AS int)"
+    around = ["size", *_key(F.col("text")), F.size("w").cast("long").alias("n_words"), F.expr(f"{first} - 1").alias("start"), F.expr(f"slice(w, {first}, cast(j * {stride} AS int) + size - {first} + 1)").alias("part")]
+    at = at.join(near(anchors), "h").select(*around) if small else at.select("h", *around).join(anchors, "h").drop("h")
+    whole = "CASE WHEN size(part) >= size THEN transform(sequence(1, size(part) - size + 1), i -> array_join(slice(part, i, size), ' ')) ELSE cast(array() as array<string>) END"
+    ws = at.select("size", *KEY, "n_words", "start", F.posexplode_outer(F.expr(whole)).alias("i", "window"))
+    return ws.join(near(distinct), ["size", "window"]).select(*KEY, "n_words", (F.col("start") + F.col("i")).alias("pos"), "size", "window").distinct()
 
 
 def hit_spans(found: DataFrame) -> DataFrame:
