@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from panelight.functions.binding import let
 from panelight.functions.vocabularies import LEXICONS, SECTION_FAMILIES, TAXONOMY_VERSION, Theme
 
 WORD_CHAR = r"[\p{L}\p{N}_]"
@@ -101,14 +102,15 @@ def classify_themes(text: Column | str, themes: Sequence[Theme], sentence_list:
 
 def linguistic_metrics(text: Column | str, lexicons: Mapping[str, Sequence[str]] = LEXICONS, digits: int = 4, fold: bool = True) -> Column:
     """word_count, sentence_count, average_sentence_length, quantified_claim_count, and count and rate per 100 words of each lexicon."""
-    words = F.transform(tokens(text), F.lower)
-    n, s = F.size(words).cast("long"), F.size(sentences(text)).cast("long")
-    zero = F.lit(0.0)
-    out = [n.alias("word_count"), s.alias("sentence_count"), F.when(s > 0, F.round(n / s, digits)).otherwise(zero).alias("average_sentence_length"), quantified_claims(text, fold).alias("quantified_claim_count")]
-    for name, lexicon in lexicons.items():
-        c = F.size(F.filter(words, _among(lexicon))).cast("long")
-        out += [c.alias(f"{name}_count"), F.when(n > 0, F.round(100 * c / n, 4)).otherwise(zero).alias(f"{name}_rate_per_100_words")]
-    return F.struct(*out)
+    def metrics(x: Column) -> Column:
+        n, s, zero = F.size(x["w"]).cast("long"), x["s"], F.lit(0.0)
+        out = [n.alias("word_count"), s.alias("sentence_count"), F.when(s > 0, F.round(n / s, digits)).otherwise(zero).alias("average_sentence_length"), x["q"].alias("quantified_claim_count")]
+        for name, lexicon in lexicons.items():
+            c = F.size(F.filter(x["w"], _among(lexicon))).cast("long")
+            out += [c.alias(f"{name}_count"), F.when(n > 0, F.round(100 * c / n, 4)).otherwise(zero).alias(f"{name}_rate_per_100_words")]
+        return F.struct(*out)
+
+    return let(F.struct(F.transform(tokens(text), lambda w: F.lower(w)).alias("w"), F.size(sentences(text)).cast("long").alias("s"), quantified_claims(text, fold).alias("q")), metrics)
 
 
 def rate(count: Column, words: Column, per: int, digits: int | None = None) -> Column:
@@ -125,7 +127,11 @@ def genre_form(text: Column | str) -> Column:
 def genre_matches(form: Column | str, phrases: Sequence[str]) -> Column:
     """Matches of all phrases in a ``genre_form``, each counted by itself, with no ASCII letter or digit beside it."""
     c = F.col(form) if isinstance(form, str) else form
-    return reduce(add, [F.regexp_count(c, F.lit(rf"(?<![a-z0-9]){re.escape(p.lower())}(?![a-z0-9])")) for p in phrases]).cast("long")
+    low = [p.lower() for p in phrases]
+    single = [p for p in low if re.fullmatch("[a-z0-9]+", p)]
+    # single words are parts between the boundaries: one split counts them all
+    parts = [F.size(F.filter(F.split(c, "[^a-z0-9]+"), _among(single)))] if single else []
+    return reduce(add, parts + [F.regexp_count(c, F.lit(rf"(?<![a-z0-9]){re.escape(p)}(?![a-z0-9])")) for p in low if p not in single]).cast("long")
 
 
 def front_window(text: Column | str, chars: int = 9000) -> Column:
@@ -192,14 +198,16 @@ def truthy(value: Column | str) -> Column:
 
 def section_family(title: Column | str, body: Column | str, families: Mapping[str, Sequence[str]] = SECTION_FAMILIES, front: int = 1500) -> Column:
     """The first family with a phrase in the title, else in the title and the body's first ``front`` characters, else "other"."""
-    head = genre_form(title)
+    def first(x: Column) -> Column:
+        out = None
+        for where in (x["head"], x["both"]):
+            for family, phrases in families.items():
+                fits = reduce(lambda a, b: a | b, [where.contains(p) for p in phrases])
+                out = F.when(fits, family) if out is None else out.when(fits, family)
+        return out.otherwise("other")
+
     both = genre_form(F.concat(whole(title), F.lit(" "), F.left(whole(body), F.lit(front))))
-    out = None
-    for where in (head, both):
-        for family, phrases in families.items():
-            fits = reduce(lambda a, b: a | b, [where.contains(p) for p in phrases])
-            out = F.when(fits, family) if out is None else out.when(fits, family)
-    return out.otherwise("other")
+    return let(F.struct(genre_form(title).alias("head"), both.alias("both")), first)
 
 
 def is_heading(line: Column | str, families: Mapping[str, Sequence[str]] = SECTION_FAMILIES) -> Column:
@@ -207,17 +215,20 @@ def is_heading(line: Column | str, families: Mapping[str, Sequence[str]] = SECTI
 
     Lines that end like a sentence must be in capitals; known section phrases need less.
     """
-    s = squeezed(line)
-    words = tokens(s)
-    n = F.size(words)
-    letters, capitals = F.regexp_count(s, F.lit(r"\p{L}")), F.regexp_count(s, F.lit(r"\p{Lu}"))
-    upper = capitals / F.nullif(letters, F.lit(0))
-    title = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}"))) / F.nullif(n, F.lit(0))
-    known = reduce(lambda a, b: a | b, [F.lower(s).contains(p) for ps in families.values() for p in ps])
-    short = (F.length(s) <= 140) & n.between(2, 18) & (letters > 0)
-    sentence = s.rlike(r"[.,]$") & (upper < 0.65)
-    cased = F.when(known, (upper >= 0.65) | (title >= 0.45) | (n <= 7)).otherwise((upper >= 0.65) | (s.rlike(r"^\p{Lu}") & (title >= 0.45)))
-    return F.coalesce(short & ~sentence & cased, F.lit(False))
+    def parts(s: Column) -> Column:
+        return F.struct(s.alias("s"), F.lower(s).alias("low"), tokens(s).alias("w"), F.regexp_count(s, F.lit(r"\p{L}")).alias("letters"), F.regexp_count(s, F.lit(r"\p{Lu}")).alias("capitals"))
+
+    def judged(x: Column) -> Column:
+        n = F.size(x["w"])
+        upper = x["capitals"] / F.nullif(x["letters"], F.lit(0))
+        title = F.size(F.filter(x["w"], lambda w: w.rlike(r"^\p{Lu}"))) / F.nullif(n, F.lit(0))
+        known = reduce(lambda a, b: a | b, [x["low"].contains(p) for ps in families.values() for p in ps])
+        sentence = x["s"].rlike(r"[.,]$") & (upper < 0.65)
+        cased = F.when(known, (upper >= 0.65) | (title >= 0.45) | (n <= 7)).otherwise((upper >= 0.65) | (x["s"].rlike(r"^\p{Lu}") & (title >= 0.45)))
+        return n.between(2, 18) & (x["letters"] > 0) & ~sentence & cased
+
+    # a line that is too long is not looked at further
+    return let(squeezed(line), lambda s: F.when(F.length(s).between(1, 140), F.coalesce(let(parts(s), judged), F.lit(False))).otherwise(F.lit(False)))
 
 
 # Headings that a structured annotation has, and answers that say nothing.

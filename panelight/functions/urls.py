@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from panelight.functions.binding import let
+
 # Tracking parameters, identity words and paths.
 TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid")
 IDENTITY_KEYWORDS = ("about", "company", "corporate", "mission", "purpose", "values", "who-we-are", "who we are")
@@ -30,11 +32,6 @@ def _part(url: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(url, pattern, group)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def is_asset(url: Column | str) -> Column:
     return F.coalesce(_col(url).rlike(ASSET_URL), F.lit(False))
 
@@ -60,7 +57,7 @@ def normalised(url: Column | str) -> Column:
     """A stable form: a scheme (https if none), lower-case scheme and host, no default port, no fragment, no slash at the end,
     no tracking parameters, parameters sorted.  Null for an empty URL or one without a host."""
     u = F.trim(F.coalesce(_col(url), F.lit("")))
-    return _let(F.when(u.contains("://"), u).otherwise(F.concat(F.lit("https://"), u)), _normalised)
+    return let(F.when(u.contains("://"), u).otherwise(F.concat(F.lit("https://"), u)), _normalised)
 
 
 def _normalised(u: Column) -> Column:
@@ -106,7 +103,7 @@ def page_type(url: Column | str) -> Column:
 
 def identity_score(url: Column | str) -> Column:
     """How likely a URL is a company's page about itself; 0 for assets, null if it can't be read."""
-    return _let(normalised(url), _score)
+    return let(normalised(url), _score)
 
 
 def _score(n: Column) -> Column:
@@ -117,7 +114,7 @@ def _score(n: Column) -> Column:
         parts += [F.when(has(ABOUT_FORMS, p), 4).otherwise(0), F.when(depth <= 4, 2).otherwise(0), F.when(has(OFF_TOPIC, p), -3).otherwise(0)]
         return F.when(p.rlike(ASSET_PATH), 0).otherwise(reduce(add, parts))
 
-    scored = _let(F.struct(F.lower(path(n)).alias("p"), F.translate(F.lower(path(n)), "-_", "  ").alias("s")), lambda x: points(x["p"], x["s"]))
+    scored = let(F.struct(F.lower(path(n)).alias("p"), F.translate(F.lower(path(n)), "-_", "  ").alias("s")), lambda x: points(x["p"], x["s"]))
     return F.when(n.isNotNull(), scored).cast("int")
 
 
@@ -146,7 +143,7 @@ def recovery_variants(url: Column | str, common: tuple[str, ...] = IDENTITY_PATH
         made = F.flatten(F.transform(x["s"], lambda a: F.flatten(F.transform(x["h"], lambda b: F.transform(x["p"], lambda c: F.concat(a, F.lit("://"), b, c))))))
         return F.filter(F.array_distinct(made), lambda v: v != x["n"])
 
-    return _let(_let(normalised(url), places), lambda x: F.when(x["n"].isNotNull(), every(x)))
+    return let(let(normalised(url), places), lambda x: F.when(x["n"].isNotNull(), every(x)))
 
 
 def joined(base: Column | str, link: Column | str) -> Column:

@@ -241,7 +241,7 @@ def best_urls(captures: DataFrame, key=("ticker",), limit: int = 3) -> DataFrame
 def best_variants(pages: DataFrame, url: str = "url", limit: int = 4) -> DataFrame:
     """The columns of ``pages``, variant, rank: the best ``limit`` other addresses of each URL (higher score, http first, shorter path, name)."""
     # the variants are in normal form already
-    each = pages.select("*", F.explode(urls.recovery_variants(url)).alias("variant")).distinct()
+    each = pages.select("*", F.explode_outer(urls.recovery_variants(url)).alias("variant")).filter("variant IS NOT NULL").distinct()
     w = Window.partitionBy(*[F.col(f"`{c}`") for c in pages.columns]).orderBy(F.desc(urls.identity_score("variant")), (urls.scheme("variant") != "http").cast("int"), F.length(urls.path("variant")), "variant")
     return each.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 

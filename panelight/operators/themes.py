@@ -42,7 +42,8 @@ def theme_evidence(docs: DataFrame, keys: Sequence[str], themes: Sequence[Theme]
 
 def theme_observations(evidence: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys and one row for each theme found: the long form of ``theme_evidence``."""
-    return evidence.select(*keys, F.inline("theme_evidence"))
+    # outer, as the optimiser else finds the evidence twice: once to filter on the array's size
+    return evidence.select(*keys, F.inline_outer("theme_evidence")).filter("theme_id IS NOT NULL")
 
 
 def genre_rates(docs: DataFrame, keys: Sequence[str], genres: Mapping[str, Sequence[str]], text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", featu
     w = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0)), lambda x: ~x.isin(*stop_words) if stop_words else F.lit(True))
     base = docs.select(F.col(id_col).alias("id"), w.alias("w"))
     grams = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat(F.element_at("w", i), F.lit(" "), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    terms = base.select("id", F.explode(F.concat("w", grams) if pairs else F.col("w")).alias("term"))
+    terms = base.select("id", F.explode_outer(F.concat("w", grams) if pairs else F.col("w")).alias("term")).filter("term IS NOT NULL")
     tf = terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
     n = F.broadcast(docs.agg(F.count("*").alias("n")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(n).filter((F.col("df") >= least) & (F.col("df") <= share * F.col("n")))  # one row on the right

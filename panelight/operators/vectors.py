@@ -71,8 +71,8 @@ def tfidf_pair_cosine(pairs: DataFrame, a: str, b: str, key: Sequence[str], digi
     A term's weight is its count times ln(3 / (1 + n)) + 1, n the sides that have it.  0 where a side has no term.
     Terms are counted per row before they meet, so a shuffle carries counts, not texts.
     """
-    long = pairs.select(*key, F.explode(_terms(a)).alias("term"), F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(pairs.select(*key, F.explode(_terms(b)).alias("term"), F.lit(0).alias("__a"), F.lit(1).alias("__b")))
-    counts = long.groupBy(*key, "term").agg(F.sum("__a").alias("a"), F.sum("__b").alias("b"))
+    long = pairs.select(*key, F.explode_outer(_terms(a)).alias("term"), F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(pairs.select(*key, F.explode_outer(_terms(b)).alias("term"), F.lit(0).alias("__a"), F.lit(1).alias("__b")))
+    counts = long.filter("term IS NOT NULL").groupBy(*key, "term").agg(F.sum("__a").alias("a"), F.sum("__b").alias("b"))
     idf = F.log(3 / (1 + (F.col("a") > 0).cast("int") + (F.col("b") > 0).cast("int"))) + 1
     w = counts.select(*key, (F.col("a") * idf).alias("x"), (F.col("b") * idf).alias("y"))
     sums = w.groupBy(*key).agg(F.sum(F.col("x") * F.col("y")).alias("d"), (F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("y") * F.col("y")))).alias("n"))
