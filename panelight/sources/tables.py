@@ -199,3 +199,30 @@ def write_vectors(df: DataFrame, path: str, id_col: str, vector: str) -> DataFra
     out = df.select(id_col, F.col(vector).cast("array<float>").alias(vector))
     out.write.mode("overwrite").parquet(path)
     return out.select(id_col, F.sha2(F.array_join(F.col(vector).cast("array<string>"), ","), 256).alias("sha256"))
+
+
+# Filing lists
+
+
+def ticker_ciks(spark: SparkSession, path: str) -> DataFrame:
+    """ticker (normal form) and cik (10 digits) of a JSON document of numbered companies; of repeats the first by name stays."""
+    from panelight.functions.text import normal_ticker
+
+    text = spark.read.text(path, wholetext=True)
+    rows = text.select(F.explode(F.map_values(F.from_json("value", "map<string, struct<cik_str: bigint, ticker: string, title: string>>"))).alias("c"))
+    return rows.select(normal_ticker(F.col("c.ticker")).alias("ticker"), F.lpad(F.col("c.cik_str").cast("string"), 10, "0").alias("cik")).groupBy("ticker").agg(F.min("cik").alias("cik"))
+
+
+def submission_rows(pages: Sequence[DataFrame], columns: str = "columns") -> DataFrame:
+    """Filing rows of the recent page and of older ones, each a struct of parallel arrays; columns that a page lacks are null."""
+    from functools import reduce
+
+    from panelight.operators.captures import columnar_rows
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [columnar_rows(p, columns) for p in pages])
+
+
+def smoke_subset(df: DataFrame, tickers: Sequence[str] | None = None, rows: int | None = None, order: Sequence[str] = ("ticker", "year")) -> DataFrame:
+    """The rows of some tickers, or the first ones in order: for trying a run out, never for its results."""
+    some = df.filter(F.col("ticker").isin(*tickers)) if tickers else df
+    return some if rows is None else some.orderBy(*order).limit(rows)

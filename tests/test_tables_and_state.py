@@ -110,3 +110,13 @@ def test_retries_and_stages():
         state.with_retries(lambda: (_ for _ in ()).throw(OSError("no")), 2)
     out = state.run_stages([("a", lambda: 1), ("b", lambda: 1 / 0), ("c", lambda: 3)])
     assert [out[k]["status"] for k in "abc"] == ["completed", "failed", "completed"] and out["b"]["error_type"] == "ZeroDivisionError"
+
+
+def test_filing_lists(spark, tmp_path):
+    (tmp_path / "ciks.json").write_text('{"0": {"cik_str": 320, "ticker": "brk.b", "title": "x"}, "1": {"cik_str": 7, "ticker": "A", "title": "y"}}')
+    assert sorted(map(tuple, S.ticker_ciks(spark, str(tmp_path / "ciks.json")).collect())) == [("A", "0000000007"), ("BRK-B", "0000000320")]
+    recent = spark.createDataFrame([("T", (["10-K"], ["2020-01-01"]))], "ticker string, columns struct<form: array<string>, filingDate: array<string>>")
+    older = spark.createDataFrame([("T", (["8-K", "8-K"],))], "ticker string, columns struct<form: array<string>>")
+    rows = S.submission_rows([recent, older])
+    assert rows.count() == 3 and rows.filter("filingDate IS NULL").count() == 2
+    assert S.smoke_subset(rows.withColumn("year", F.lit(1)), ["T"], 2).count() == 2 and S.smoke_subset(rows, ["X"]).count() == 0
