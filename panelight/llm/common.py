@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes handled at once in a Python worker; a longer single text is a batch of its own.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 #: ASCII lower-casing only: other letters stay as they are.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,6 +40,16 @@ def slices(batch: pa.RecordBatch | pa.Array, column: str | None = None, limit: i
         start = end
 
 
+def give_back() -> None:
+    """Returns a Python worker's unused memory to the machine: workers wait for later stages beside a JVM that needs it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: list[T.StructField], make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """``keep`` columns of ``df`` and the columns that a Python function computes from its texts.
 
@@ -61,6 +71,7 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: list[T.Stru
             for part in slices(batch):
                 made = [x if isinstance(x, pa.Array) else pa.array(x, type=t.type) for x, t in zip(f(part.to_pylist()), target, strict=True)]
                 yield pa.StructArray.from_arrays([x if x.type == t.type else x.cast(t.type) for x, t in zip(made, target)], fields=list(target))
+            give_back()
             if not len(batch):
                 yield pa.StructArray.from_arrays([pa.array([], type=t.type) for t in target], fields=list(target))
 
