@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelight.sources.shared import checkpoint, forget, shared_folder  # noqa: F401
+
 #: Text bytes handled at once in a Python worker; a longer single text is a batch of its own.
 BATCH_BYTES = 1 << 20
 
@@ -80,46 +81,6 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: list[T.Stru
     return df.select(*kept, made.alias("__made")).select(*kept, "__made.*")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
-
-    Where the session names none, a session on one machine (tests, a laptop) gets a
-    temporary folder, and a cluster a folder in its warehouse, which is shared.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if made.isEmpty():
-            import tempfile
-
-            local = spark.sparkContext.master.startswith("local")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoint")
-            made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = made.get()
-    return named.rstrip("/")
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a table written once in the shared folder and read again.
-
-    Unlike an eager ``DataFrame.checkpoint`` this computes the rows once, and later
-    reads take only the columns they need.  ``forget`` deletes it.
-    """
-    at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    out = df.sparkSession.read.schema(df.schema).parquet(at)
-    out._written_at = at
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables of ``checkpoint`` that nothing reads any more; other frames are left alone."""
-    for df in tables:
-        if at := getattr(df, "_written_at", None):
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as decimal text, modulo ``m``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m

@@ -107,10 +107,10 @@ def metric_means(scored: DataFrame, by: Sequence[str], x: str = "keyword", y: st
     return scored.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.count("*").alias("company_years"), F.round(F.avg(x), 6).alias(f"mean_{x}"), F.round(F.avg(y), 6).alias(f"mean_{y}"), F.round(F.avg(hybrid), 6).alias("mean_hybrid"))
 
 
-def pressure_summary(frame: DataFrame, x: str = "pressure", y: str = "score", tercile: str = "tercile") -> DataFrame:
+def pressure_summary(frame: DataFrame, x: str = "pressure", y: str = "score", tercile: str = "tercile", digits: int = 6) -> DataFrame:
     """group (overall and each tercile): rows, rows with either value, means and medians: one pass by grouping sets."""
     labelled = frame.select(x, y, F.explode(F.array_compact(F.array(F.lit("overall"), F.concat(F.lit("tercile_"), F.col(tercile))))).alias("group"))
-    r = lambda c: F.round(c, 6)
+    r = lambda c: F.round(c, digits)
     return labelled.groupBy("group").agg(F.count("*").alias("company_years"), F.count(x).alias("diagnostic_company_years"), F.count(y).alias("scored_company_years"), r(F.avg(x)).alias("mean_pressure"), r(F.median(x)).alias("median_pressure"), r(F.avg(y)).alias("mean_score"), r(F.median(y)).alias("median_score"))
 
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelight.sources.shared import checkpoint
+
 LABELS = ("low", "medium", "high")
 
 
@@ -56,14 +58,17 @@ def composite(df: DataFrame, columns: Sequence[str], computed: Column, into: str
 def global_rank(df: DataFrame, order: Sequence[Column | str], into: str = "rank") -> DataFrame:
     """Adds the row's number (from 1) in the order of the whole table.
 
-    The rows are range-partitioned and numbered within partitions; offsets are
-    counts of the partitions before, one small row each.
+    The rows are range-partitioned, numbered within partitions and written once: partitions
+    made again for their counts alone have other bounds, or are merged otherwise.
+    Offsets are counts of the partitions before, one small row each.
     """
-    placed = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    numbered = placed.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    sizes = placed.groupBy("__p").agg(F.count("*").alias("__c"))
+    at = F.monotonically_increasing_id()  # the partition above 33 bits, the row in it below
+    placed = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__r", at))
+    part = F.shiftright("__r", 33).alias("__p")
+    sizes = placed.groupBy(part).agg(F.count("*").alias("__c"))
     before = sizes.withColumn("__o", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return numbered.join(F.broadcast(before.select("__p", "__o")), "__p").select(*df.columns, (F.col("__r") + F.col("__o")).cast("long").alias(into))
+    numbered = placed.withColumn("__p", part).join(F.broadcast(before.select("__p", "__o")), "__p")
+    return numbered.select(*df.columns, (F.col("__r").bitwiseAND((1 << 33) - 1) + 1 + F.col("__o")).cast("long").alias(into))
 
 
 def average_rank(df: DataFrame, column: str, into: str) -> DataFrame:
@@ -82,12 +87,11 @@ def terciles(df: DataFrame, column: str, tie_keys: Sequence[str], into: str = "t
 
     Ties are told apart by ``tie_keys``, so groups differ by one row at most.
     """
-    some = global_rank(df.filter(F.col(column).isNotNull()), [column, *tie_keys], "__at")
-    n = F.broadcast(some.agg(F.count("*").alias("__n")))
+    ranked = global_rank(df, [F.col(column).asc_nulls_last(), *tie_keys], "__at")
+    n = F.broadcast(ranked.agg(F.count(column).alias("__n")))  # one row
     first = F.expr("(__n + 1) div 3")
-    label = F.when(F.col("__at") <= first, LABELS[0]).when(F.col("__at") <= first + F.expr("__n div 3"), LABELS[1]).otherwise(LABELS[2])
-    labelled = some.crossJoin(n).select(*df.columns, label.alias(into))
-    return labelled.unionByName(df.filter(F.col(column).isNull()).withColumn(into, F.lit(None).cast("string")))
+    label = F.when(F.col("__at") <= first, LABELS[0]).when(F.col("__at") <= first + F.expr("__n div 3"), LABELS[1]).when(F.col("__at") <= F.col("__n"), LABELS[2])
+    return ranked.crossJoin(n).select(*df.columns, label.alias(into))
 
 
 def quadrants(df: DataFrame, x: str, y: str, into: str = "quadrant") -> DataFrame:

@@ -102,7 +102,7 @@ _terciles = lambda s, d: stats.terciles(_composite(s, d).withColumn("composite",
 _TERCILES = "terc AS MATERIALIZED (SELECT ticker, x, y, composite, CASE WHEN composite IS NULL THEN NULL WHEN n <= (k + 1) // 3 THEN 'low' WHEN n <= (k + 1) // 3 + k // 3 THEN 'medium' ELSE 'high' END AS tercile FROM (SELECT ticker, x, y, round(composite, 6) AS composite, row_number() OVER (PARTITION BY composite IS NULL ORDER BY round(composite, 6), ticker) AS n, count(composite) OVER () AS k FROM comp))"
 query("terciles", lambda s, d: _terciles(s, d).select("ticker", "tercile"), "SELECT ticker, tercile FROM terc", METRICS, _COMPOSITE, _TERCILES)
 _ps = "count(*) AS company_years, count(composite) AS diagnostic_company_years, count(y) AS scored_company_years, round(avg(composite), 4) + 0 AS mean_pressure, round(median(composite), 4) AS median_pressure, round(avg(y), 4) AS mean_score, round(median(y), 4) AS median_score"
-query("pressure_summary", lambda s, d: A.pressure_summary(_terciles(s, d), "composite", "y").select("group", "company_years", "diagnostic_company_years", "scored_company_years", *[_r(c, 4) for c in ("mean_pressure", "median_pressure", "mean_score", "median_score")]), f"""SELECT 'overall' AS "group", {_ps} FROM terc UNION ALL SELECT 'tercile_' || tercile, {_ps} FROM terc WHERE tercile IS NOT NULL GROUP BY tercile""", METRICS, _COMPOSITE, _TERCILES)
+query("pressure_summary", lambda s, d: A.pressure_summary(_terciles(s, d), "composite", "y", digits=4), f"""SELECT 'overall' AS "group", {_ps} FROM terc UNION ALL SELECT 'tercile_' || tercile, {_ps} FROM terc WHERE tercile IS NOT NULL GROUP BY tercile""", METRICS, _COMPOSITE, _TERCILES)
 _quad = lambda s, d: stats.quadrants(metrics(s, d), "x", "y")
 _QUAD = "quad AS MATERIALIZED (SELECT m.*, CASE WHEN y IS NULL THEN NULL WHEN x >= mx AND y >= my THEN 'both_high' WHEN x >= mx THEN 'keyword_high_only' WHEN y >= my THEN 'semantic_high_only' ELSE 'both_low' END AS quadrant FROM metrics m, (SELECT median(x) AS mx, median(y) AS my FROM metrics WHERE y IS NOT NULL) q)"
 query("quadrants", lambda s, d: _quad(s, d).select("ticker", "quadrant"), "SELECT ticker, quadrant FROM quad", METRICS, _QUAD)

@@ -116,6 +116,19 @@ def test_terciles_by_rank(spark, n):
     assert [o[2] for o in order] == sorted(o[2] for o in order)
 
 
+def test_terciles_of_wide_rows(spark):
+    """Range partitions that are made twice, for rows and for their counts, are merged otherwise where columns are left out."""
+    n = 40_000
+    df = spark.range(0, n, 1, 8).select("id", F.when(F.col("id") % 5 != 0, F.pmod(F.xxhash64("id"), F.lit(1000))).alias("x"), F.concat(*[F.sha2(F.concat("id", F.lit(i)).cast("string"), 512) for i in "abc"]).alias("wide"))
+    some = sorted((r["x"], r["id"]) for r in df.select("x", "id").collect() if r["x"] is not None)
+    k = len(some)
+    first, second = (k + 1) // 3, (k + 1) // 3 + k // 3
+    want = {i: "low" if at < first else "medium" if at < second else "high" for at, (_, i) in enumerate(some)}
+    got = stats.terciles(df, "x", ["id"]).collect()
+    assert len(got) == n
+    assert {r["id"]: r["tercile"] for r in got} == {i: want.get(i) for i in range(n)}
+
+
 def test_statistics(spark):
     rng = np.random.default_rng(3)
     x, y = rng.normal(size=60).round(2), rng.normal(size=60).round(1)
