@@ -26,7 +26,7 @@ def _vectors(s, d):
 
 _UNIT = "v AS MATERIALIZED (SELECT vec_id, label AS sector, vec_id % 25 AS ticker, list_transform(embedding, lambda x: cast(x AS DOUBLE)) AS e FROM embeddings), u AS MATERIALIZED (SELECT vec_id, sector, ticker, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v)"
 _COS = "list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2]))"
-query("vector_top_pairs", lambda s, d: vectors.top_pairs(vectors.pairs_within(_vectors(s, d), "vec_id", "embedding", ["sector", "ticker"])), f"SELECT a.vec_id AS id_a, b.vec_id AS id_b, a.sector = b.sector AS same_sector, a.ticker = b.ticker AS same_ticker, round({_COS}, 8) AS cosine_similarity FROM u a JOIN u b ON a.vec_id < b.vec_id AND (a.sector = b.sector OR a.ticker = b.ticker) ORDER BY round({_COS}, 8) DESC, id_a, id_b LIMIT 500", _UNIT)
+query("vector_top_pairs", lambda s, d: vectors.top_pairs_within(_vectors(s, d), "vec_id", "embedding", ["sector", "ticker"]), f"SELECT a.vec_id AS id_a, b.vec_id AS id_b, a.sector = b.sector AS same_sector, a.ticker = b.ticker AS same_ticker, round({_COS}, 8) AS cosine_similarity FROM u a JOIN u b ON a.vec_id < b.vec_id AND (a.sector = b.sector OR a.ticker = b.ticker) ORDER BY round({_COS}, 8) DESC, id_a, id_b LIMIT 500", _UNIT)
 query("vector_shifts", lambda s, d: vectors.shifts(_vectors(s, d), "vec_id", "embedding", ["ticker"], ["vec_id"]).select("ticker", "id_prior", "id_current", "cosine_similarity"), f"SELECT b.ticker, a.vec_id AS id_prior, b.vec_id AS id_current, round({_COS}, 8) AS cosine_similarity FROM u b JOIN u a ON a.vec_id = b.vec_id - 25", _UNIT)
 
 

@@ -218,3 +218,25 @@ def test_audits(spark):
     assert checks["expected_row_count"] and checks["taxonomy_version_recorded"] and not checks["scored_rows_have_scores"] and not checks["scored_rows_traceable"]
     a, b = (audit.run_manifest(d, {"k": 1}, ["ticker", "year"]) for d in (t, t.orderBy(F.desc("year"))))
     assert a == b and a["rows"] == 4
+
+
+def test_top_pairs_in_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    """Copies, ties, nulls, vectors that no matrix holds and ids that occur twice; in blocks no row is made for each pair."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(40, 6)).round(1)
+    rows = [(i, None if i % 13 == 0 else f"s{i % 3}", i % 5, [float(v) for v in base[i % 40]]) for i in range(150)]
+    rows += [(3, "s0", 3, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]), (200, "s1", 1, [0.0] * 6), (201, "s1", 1, None), (202, "s1", 2, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (203, "s2", 2, [1.0, 2.0]), (204, "s2", 2, [float("nan")] * 6)]
+    df = spark.createDataFrame(rows, "k long, g string, h int, v array<double>").repartition(3).cache()
+    for n in (1, 40, 700, 100_000):
+        want = vectors.top_pairs(vectors.pairs_within(df, "k", "v", ["g", "h"]), n).collect()
+        got = vectors.top_pairs_within(df, "k", "v", ["g", "h"], n, block=16).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    df.unpersist()
+    from panelight.plans import model_queries
+
+    monkeypatch.setattr(vectors, "pairs_within", None)
+    assert model_queries.QUERIES["vector_top_pairs"](spark, "/root/testdata/sf0.001").count() == 500
+
+
+def test_cosines_are_rounded_as_decimals():
+    assert vectors._rounded(np.array([0.123456785, -0.123456785, 0.999999995, 1.0, 0.0, 0.1234567849])).tolist() == [12345679, -12345679, 100000000, 100000000, 0, 12345678]
