@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,7 +55,7 @@ def give_back() -> None:
 def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: list[T.StructField], make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """``keep`` columns of ``df`` and the columns that a Python function computes from its texts.
 
-    ``make()`` is called once a task and gives the function: a list of texts
+    ``make()`` is called once a task and gives the function, which goes when the task ends: a list of texts
     (null is "") to one sequence for each of ``fields``.  Only the texts go to Python and
     only the computed columns come back.  A kept column whose name equals a
     computed one (names compare without case) gives way to it.
@@ -75,6 +76,9 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: list[T.Stru
             give_back()
             if not len(batch):
                 yield pa.StructArray.from_arrays([pa.array([], type=t.type) for t in target], fields=list(target))
+        f = batch = part = made = None  # the worker waits for other tasks without them
+        gc.collect()
+        give_back()
 
     # not repeated or moved by the optimiser: each text is computed once
     made = run.asNondeterministic()(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))

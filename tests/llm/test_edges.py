@@ -161,3 +161,43 @@ def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
     for stage in (C.quality, C.language, C.near_dedup, C.decontamination):
         out = stage(spark, none, d)
         assert out.columns == none.columns and out.collect() == []
+
+
+def test_each_stage_bounds_its_batches(spark, sf):
+    import corpus_pipeline as C
+
+    before = spark.conf.get(C.BATCH_CONF)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    try:
+        for stage in (C.quality, C.encoding):  # by itself, as a caller other than run() does
+            spark.conf.set(C.BATCH_CONF, "64m")
+            stage(spark, docs, sf)
+            assert spark.conf.get(C.BATCH_CONF) == C.BATCH
+    finally:
+        spark.conf.set(C.BATCH_CONF, before)
+
+
+def test_task_with_a_bounded_table_leaves_no_tokenizer(spark):
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from panelight.llm import bpe
+    from panelight.llm.queries import vocabulary
+
+    docs = spark.range(40, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha2(F.concat("id", F.lit(f":{k}")), 256) for k in range(4)]).alias("text"))
+    path = vocabulary("word_bpe_49k.json")
+    rows = lambda **x: bpe.encode_decode(docs, path, **x).orderBy("doc_id").collect()
+    whole = rows(table=5)
+
+    @F.arrow_udf("int")
+    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import gc
+
+        for b in batches:
+            yield pa.array([sum(type(x).__name__ == "Bpe" for x in gc.get_objects())] * len(b), type=pa.int32())
+
+    # the one worker that took the task above, and others that may wait
+    assert {r[0] for r in spark.range(8, numPartitions=1).select(held("id")).collect()} == {0}
+    assert whole == rows() and len(whole) == 40
